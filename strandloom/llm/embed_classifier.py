@@ -19,6 +19,7 @@ from .common import crc32_of_id
 BITS = 17
 NGRAMS = (3, 4, 5)
 MAX_ROWS = 3000
+REPEAT = 4
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, _PRIME, np.uint64), dtype=np.uint64)
@@ -30,7 +31,9 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def features(text: str | None) -> Iterator[np.ndarray]:
-    """Buckets of all words and of the n-grams inside them (a space marks either end), stretch by stretch."""
+    """Buckets of all words and of the n-grams inside them (a space marks either end), stretch by stretch.
+
+    A word that equals the one before it adds ``REPEAT`` times the bucket of the word pair "the same again"."""
     parts = (text or "").encode().split()
     for at in range(0, len(parts), _WORDS_AT_ONCE):
         raw = np.frombuffer(b" " + b" ".join(parts[at : at + _WORDS_AT_ONCE]) + b" ", np.uint8).astype(np.uint64)
@@ -38,7 +41,9 @@ def features(text: str | None) -> Iterator[np.ndarray]:
         before = np.cumsum(space)
         starts = np.flatnonzero(space)
         place = np.arange(len(raw)) - starts[before - 1]
-        out = [_bucket(np.add.reduceat(raw * _POWERS[place % len(_POWERS)], starts)[:-1], 1)]
+        word = np.add.reduceat(raw * _POWERS[place % len(_POWERS)], starts)[:-1]
+        same = np.full(REPEAT * int((word[1:] == word[:-1]).sum()), np.uint64(0))
+        out = [_bucket(word, 1), _bucket(same, 2)]
         for n in NGRAMS:
             if len(raw) < n:
                 continue

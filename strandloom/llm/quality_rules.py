@@ -89,9 +89,10 @@ def rule_votes() -> dict[str, Column]:
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Expectation-maximisation over (votes, count): share of good documents, and for each rule P(vote | good), P(vote | bad).
 
-    It starts from the majority of votes and smooths counts by one, so no pattern and no rule has probability zero."""
+    Most documents are good, so a vote for bad weighs four for good at the start. Counts are smoothed by one, so no
+    pattern and no rule has probability zero."""
     n_rules = len(patterns[0][0]) if patterns else 0
-    post = [0.5 + 0.45 * math.tanh(sum(v)) for v, _ in patterns]
+    post = [0.5 + 0.45 * math.tanh(sum(x if x >= 0 else -4 for x in v) - 2) for v, _ in patterns]
     prior, rates = 0.5, [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in range(n_rules)]
     for _ in range(rounds):
         good = sum(p * c for p, (_, c) in zip(post, patterns, strict=True))

@@ -25,7 +25,10 @@ MAX_ROWS = 8000
 MAX_VOTERS = 120
 #: Insults that vote whether or not labels show them.
 LEXICON = "idiot moron scum trash worthless pathetic disgusting stupid clown loser".split()
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+MIN_RATE, MIN_SHARE = 12, 0.75
+#: Correlations within a class above this count against a voter.
+STRONG = 0.3
 PATTERNS = ("none", "one", "some", "many", "dense")
 
 
@@ -60,9 +63,9 @@ def votes(counts: np.ndarray, n_words: int) -> np.ndarray:
 
 
 def discover_voters(rows: DataFrame, max_voters: int = MAX_VOTERS) -> list[str]:
-    """Words and beginnings found in at least 3 toxic rows (label, text) and 10 times as often there as elsewhere.
+    """Words and beginnings that surely occur ``MIN_RATE`` times as often in toxic rows (label, text) as in others.
 
-    A candidate that extends a chosen beginning is left out; the list keeps the ``max_voters`` with the most toxic
+    A candidate that extends a chosen beginning, or begins a chosen word, is left out; the list keeps the ``max_voters`` with the most toxic
     documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,21 +85,22 @@ def discover_voters(rows: DataFrame, max_voters: int = MAX_VOTERS) -> list[str]:
     toxic, clean = (size[0] or 0), size[1] - (size[0] or 0)
     if not toxic:
         return list(LEXICON)
-    rate = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (clean + 1))
-    good = names.filter((F.col("toxic") >= 3) & (rate >= 10)).orderBy(F.desc("toxic"), F.length("name"), "name").limit(20 * max_voters).collect()
+    often = (F.col("toxic") - F.sqrt("toxic")) / toxic  # what chance alone may add is taken off
+    rate = often / ((F.col("n") - F.col("toxic") + 1) / (clean + 1))
+    good = names.filter((rate >= MIN_RATE) & (F.col("toxic") >= MIN_SHARE * F.col("n"))).orderBy(F.desc("toxic"), F.length("name"), "name").limit(20 * max_voters).collect()
     chosen: list[str] = list(LEXICON)
     for r in good:
         name = r["name"]
         stem = name.rstrip("*")
         if len(chosen) >= max_voters:
             break
-        if name not in chosen and not any(c.endswith("*") and stem.startswith(c[:-1]) or c == stem for c in chosen):
+        if name not in chosen and not any(stem.startswith(c[:-1]) if c.endswith("*") else c.startswith(stem) for c in chosen):
             chosen.append(name)
     return chosen
 
 
-def fit_label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM for P(fires | toxic), P(fires | clean) as rows of one array, each voter's share of evidence, and the prior.
+def fit_label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM for P(fires | toxic), P(fires | clean) as rows of one array, and each voter's share of evidence; the prior is given.
 
     Shares come from the correlations of voters within the classes, weighted by the posterior, in every round."""
     n, k = v.shape
@@ -113,8 +117,7 @@ def fit_label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.n
             var += (d * d).sum(axis=0)
         corr = np.abs(cov) / np.sqrt(np.outer(var, var) + 1e-9)
         np.fill_diagonal(corr, 1.0)
-        share = 1 / np.where(corr > 0.1, corr, 0).sum(axis=1)
-        prior = float(np.clip((post.sum() + 1) / (n + 2), 1e-3, 0.5))
+        share = 1 / np.where(corr > STRONG, corr, 0).sum(axis=1)
         fires, silent = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
         z = np.log(prior / (1 - prior)) + (v * fires * share + (1 - v) * silent * share).sum(axis=1)
         post = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
