@@ -1,2 +1,446 @@
-QUERIES = {}
-ORACLE = {}
+"""Registered queries over structures derived from lineitem and over the catalog tables, with SQL for each."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.elements import chain_colour, element_code, infer_symbol, vdw_radius
+from ..operators import atoms as A
+from ..operators import backbone as B
+from ..operators import bonds as C
+from ..operators import catalog, geometry, lookup, parsing, subset, surface
+from .scene import SECONDARY, Scene, derived_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+_BASE = """
+a as (
+    select l_suppkey as structure_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 as i,
+        count(*) over (partition by l_suppkey) as n, l_quantity as x, round(l_discount * 100) as y, round(l_tax * 100) as z, l_returnflag as chain_id, (l_orderkey % 50)::int as res_seq,
+        case l_linestatus when 'O' then 'GLY' else 'ALA' end as res_name, l_linenumber as ln, ['CA', 'N', 'O', 'SG', 'H', 'CA', 'K'][l_linenumber] as name,
+        ['C', 'N', 'O', 'S', 'H', 'CA', 'K'][l_linenumber] as element, round(1 - l_discount, 2) as occupancy
+    from lineitem
+), c as (
+    select structure_id, chain_id, (row_number() over (partition by structure_id order by min(i)) - 1)::int as chain_idx from a group by 1, 2
+), r as (
+    select structure_id, chain_id, res_seq, res_name, min(i) as first_i, (row_number() over (partition by structure_id order by min(i)) - 1)::int as residue_idx from a group by 1, 2, 3, 4
+), s as (
+    select *, min(i) over (partition by structure_id, chain_id, res_seq, res_name, ln) as site_i, row_number() over (partition by structure_id, chain_id, res_seq, res_name, ln order by occupancy desc, i) as place from a
+), f as (
+    select s.*, (row_number() over (partition by structure_id order by site_i) - 1)::int as atom_idx, chain_idx, residue_idx,
+        [1.7, 1.55, 1.52, 1.8, 1.2, 2.31, 2.75][ln]::float::double as vdw, [0.76, 0.71, 0.66, 1.05, 0.31, 1.74, 2.03][ln]::float::double as covalent, [6, 7, 8, 16, 1, 20, 19][ln] as code
+    from s join c using (structure_id, chain_id) join r using (structure_id, chain_id, res_seq, res_name) where place = 1
+)"""
+_CONECT = """, k as (
+    select p.structure_id, least(p.atom_idx, q.atom_idx) as a, greatest(p.atom_idx, q.atom_idx) as b, case when p.i % 20 = 0 then 2 else 1 end as bond_order
+    from f p join f q on q.structure_id = p.structure_id and q.i = p.i + 1 where p.i % 10 = 0
+)"""
+_HEURISTIC = """, h as (
+    select p.structure_id, p.atom_idx as a, q.atom_idx as b, 1 as bond_order from f p join f q on q.structure_id = p.structure_id and p.atom_idx < q.atom_idx
+    where (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 between 0.4 * 0.4 and (p.covalent + q.covalent + 0.45) * (p.covalent + q.covalent + 0.45)
+        and abs(floor(p.x / 2.5) - floor(q.x / 2.5)) <= 1 and abs(floor(p.y / 2.5) - floor(q.y / 2.5)) <= 1 and abs(floor(p.z / 2.5) - floor(q.z / 2.5)) <= 1
+)"""
+_BONDS = _CONECT + _HEURISTIC + """, bonds as (
+    select structure_id, a, b, bond_order from k union all select * from h where not exists (select 1 from k where k.structure_id = h.structure_id and k.a = h.a and k.b = h.b)
+)"""
+_SEGMENTS = """, t as (
+    select a.structure_id, chain_id, a.i, residue_idx as end_residue, coalesce(lag(a.i) over (partition by a.structure_id, chain_id order by a.i), -1) as before
+    from a join r using (structure_id, chain_id, res_seq, res_name) where a.i % 50 = 49
+), g as (
+    select structure_id, chain_idx, t.i, end_residue, min(residue_idx) as start_residue from t join r using (structure_id, chain_id) join c using (structure_id, chain_id)
+    where r.first_i > t.before and r.first_i <= t.i group by all having min(residue_idx) <= end_residue
+)"""
+_POINTS = _SEGMENTS + """, reps as (
+    select structure_id, residue_idx, case when min(atom_idx) <> 0 then min(atom_idx) else coalesce(min(atom_idx) filter (where atom_idx > 0 and name = 'CA'), 0) end as atom_idx from f group by 1, 2
+), gs as (
+    select *, (row_number() over (partition by structure_id order by i) - 1)::int as segment from g
+), p as (
+    select structure_id, segment, residue_idx, atom_idx, f.x, f.y, f.z, (row_number() over (partition by structure_id order by segment, residue_idx) - 1)::int as point, count(*) over (partition by structure_id, segment) as size
+    from gs join reps using (structure_id) join f using (structure_id, atom_idx, residue_idx) where residue_idx between start_residue and end_residue
+)"""
+_SPANS = """, sec as (
+    select * from (values """ + ", ".join(f"({k}, '{kind.lower()}', '{chain}', {a}, {b})" for k, (kind, chain, a, b) in enumerate(SECONDARY)) + """) v(line, kind, chain_id, lo, hi)
+), sp as (
+    select structure_id, kind, line, chain_idx, min(residue_idx) filter (where res_seq >= lo) as start_residue, max(residue_idx) filter (where res_seq <= hi) as end_residue
+    from sec join r using (chain_id) join c using (structure_id, chain_id) group by all having min(residue_idx) filter (where res_seq >= lo) <= max(residue_idx) filter (where res_seq <= hi)
+), spans as (
+    select structure_id, (row_number() over (partition by structure_id order by kind, line) - 1)::int as span, kind, chain_idx, start_residue, end_residue from sp
+)"""
+_VOXELS = """, box as (
+    select structure_id, floor(min(x - vdw) - 5.5) as lx, floor(min(y - vdw) - 5.5) as ly, floor(min(z - vdw) - 5.5) as lz, ceil(max(x + vdw) + 5.5) as hx, ceil(max(y + vdw) + 5.5) as hy, ceil(max(z + vdw) + 5.5) as hz from f group by 1
+), ball as (
+    select structure_id, atom_idx, floor(x - lx + 0.5) as ci, floor(y - ly + 0.5) as cj, floor(z - lz + 0.5) as ck, first(vdw + 0.5) over (partition by structure_id, floor(vdw + 0.5 + 0.5) order by atom_idx) as rad from f join box using (structure_id)
+), o as (select unnest(range(-3, 4)) as d), vox as (
+    select structure_id, (ci + p.d)::int as i, (cj + q.d)::int as j, (ck + w.d)::int as k, min((p.d * p.d + q.d * q.d + w.d * w.d) * 1000000 + atom_idx) as best
+    from ball, o p, o q, o w where p.d * p.d + q.d * q.d + w.d * w.d <= rad * rad group by all
+)"""
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def over(*ctes: str) -> str:
+    return "with " + _BASE + "".join(ctes) + " "
+
+
+def scene(spark: SparkSession, sf_dir: str, **options) -> Scene:
+    return Scene(derived_lines(spark, sf_dir), **options)
+
+
+def keep_two(s: Scene) -> DataFrame:
+    """The subset that subset queries keep: chains A and R."""
+    return s.chains.filter(F.col("chain_id").isin("A", "R"))
+
+
+@query(over() + "select structure_id, atom_idx, i + 1 as serial, name, element, code as element_code, x, y, z, chain_idx, residue_idx from f")
+def atoms_parse(spark, sf_dir):
+    xyz = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    return scene(spark, sf_dir).atoms.select("structure_id", "atom_idx", "serial", "name", "element", "element_code", *xyz, "chain_idx", "residue_idx")
+
+
+@query(over() + "select structure_id, chain_id, count(*) as n_atoms, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, min(z) as min_z, max(z) as max_z from a group by 1, 2")
+def atoms_by_chain_bbox(spark, sf_dir):
+    return A.bounding_boxes(scene(spark, sf_dir).raw, "chain_id")
+
+
+@query(over() + "select element, name, code as element_code, vdw as radius, covalent, count(*) as n from f group by all")
+def element_infer(spark, sf_dir):
+    atoms = scene(spark, sf_dir).atoms
+    return atoms.groupBy("element", "name", "element_code", A.single("radius").alias("radius"), A.single("covalent").alias("covalent")).agg(F.count("*").alias("n"))
+
+
+@query("""select p_partkey, case substr(p_brand, 7, 1) when '1' then 'CA' when '2' then 'C' when '3' then 'D' when '4' then 'NE' else null end as symbol,
+    case substr(p_brand, 7, 1) when '1' then 20 when '2' then 6 when '4' then 10 else 0 end as code, case substr(p_brand, 7, 1) when '1' then 2.31 else 1.7 end as radius from part""")
+def element_fallback(spark, sf_dir):
+    """Inference from the name where the element field is blank or odd."""
+    kind = F.substring("p_brand", 7, 1)
+    field = F.when(kind == "3", " D").otherwise("  ")
+    name = F.when(kind == "1", " CA ").when(kind == "2", " C1'").when(kind == "4", "NE2 ").otherwise("1234")
+    symbol = infer_symbol(field, name)
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", symbol.alias("symbol"))
+    return rows.select("p_partkey", "symbol", element_code(F.col("symbol")).alias("code"), vdw_radius(F.col("symbol")).alias("radius"))
+
+
+@query(over() + "select structure_id, atom_idx, i + 1 as serial, occupancy from f")
+def altloc_resolve(spark, sf_dir):
+    return scene(spark, sf_dir).sites.select("structure_id", "atom_idx", F.col("serial").cast("long").alias("serial"), "occupancy")
+
+
+@query(over() + "select structure_id, chain_idx, chain_id from c")
+def chain_dictionary(spark, sf_dir):
+    return scene(spark, sf_dir).chains
+
+
+@query(over() + "select structure_id, residue_idx, chain_id, res_seq, res_name from r")
+def residue_dictionary(spark, sf_dir):
+    return scene(spark, sf_dir).residues.select("structure_id", "residue_idx", "chain_id", "res_seq", "res_name")
+
+
+@query("select l_suppkey as structure_id, 2 as model_count, 2 as selected, 1 as n_atoms, 9.0::double as x from lineitem group by 1")
+def model_select(spark, sf_dir):
+    s = scene(spark, sf_dir, model=2)
+    return parsing.model_counts(s.records).join(s.raw.groupBy("structure_id").agg(F.count("*").alias("n_atoms"), F.max("x").alias("x")), "structure_id")
+
+
+@query(over(_CONECT) + "select * from k")
+def conect_bonds(spark, sf_dir):
+    return scene(spark, sf_dir).conect
+
+
+@query(over(_HEURISTIC) + "select * from h")
+def heuristic_bonds(spark, sf_dir):
+    return C.heuristic_bonds(scene(spark, sf_dir).atoms)
+
+
+@query(over(_BONDS) + "select * from bonds")
+def bonds_union_policy(spark, sf_dir):
+    return scene(spark, sf_dir).bonds
+
+
+@query(over(_BONDS) + "select * from k union all select * from h where structure_id not in (select structure_id from k)")
+def bonds_if_missing(spark, sf_dir):
+    return scene(spark, sf_dir, policy="heuristic-if-missing").bonds
+
+
+@query(over() + """, e as (select structure_id, floor(x / 2.5) as cx, floor(y / 2.5) as cy, floor(z / 2.5) as cz, count(*) as n from f group by all)
+    select *, coalesce(sum(n) over (partition by structure_id order by cx, cy, cz rows between unbounded preceding and 1 preceding), 0)::bigint as first from e""")
+def cell_occupancy(spark, sf_dir):
+    return C.cell_occupancy(scene(spark, sf_dir).atoms)
+
+
+@query(over(_SEGMENTS) + "select structure_id, chain_idx, start_residue, end_residue from g")
+def ter_segments(spark, sf_dir):
+    return scene(spark, sf_dir).segments.drop("ter_line")
+
+
+@query(over(_POINTS) + "select structure_id, segment, point, residue_idx, atom_idx, x, y, z from p")
+def backbone_points(spark, sf_dir):
+    return scene(spark, sf_dir).points.select("structure_id", "segment", "point", "residue_idx", "atom_idx", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@query(over(_POINTS) + "select structure_id, segment, point, lead(point) over (partition by structure_id, segment order by point) as next_point from p qualify next_point is not null")
+def backbone_pairs(spark, sf_dir):
+    return B.backbone_pairs(scene(spark, sf_dir).points).select("structure_id", "segment", "point", "next_point")
+
+
+@query(over(_SPANS) + "select * from spans")
+def secondary_spans(spark, sf_dir):
+    return scene(spark, sf_dir).spans
+
+
+_PAINT = _SPANS + """, painted as (
+    select structure_id, residue_idx, arg_max(case kind when 'helix' then 1 else 2 end, span) as kind, arg_max(end_residue, span) filter (where kind = 'sheet') as sheet_end
+    from (select *, unnest(range(start_residue, end_residue + 1))::int as residue_idx from spans) group by 1, 2
+)"""
+
+
+@query(over(_PAINT) + "select structure_id, residue_idx, kind from painted")
+def residue_kind_paint(spark, sf_dir):
+    return B.residue_kinds(scene(spark, sf_dir).spans).select("structure_id", "residue_idx", "kind")
+
+
+@query(over(_PAINT) + """select structure_id, residue_idx, kind, round(case when kind = 1 then 1.2 when sheet_end - residue_idx > 2 then 1.2 * 1.4
+    else 1.2 * 1.4 * (1.3 - 0.3 * (1 - (sheet_end - residue_idx) / 2)) * ((sheet_end - residue_idx) / 2) end, 9)::double as width from painted""")
+def sheet_taper(spark, sf_dir):
+    return B.ribbon_widths(B.residue_kinds(scene(spark, sf_dir).spans)).withColumn("width", F.round("width", 9))
+
+
+def _csr_sql(key: str, value: str) -> str:
+    return over() + f""", m as (select structure_id, {key}, list(distinct {value}) as v from f group by 1, 2)
+        select structure_id, {key}, array_to_string(list_sort(v), ',') as members, coalesce(sum(len(v)) over (partition by structure_id order by {key} rows between unbounded preceding and 1 preceding), 0)::bigint as first from m"""
+
+
+def _csr(rows: DataFrame, key: str, value: str) -> DataFrame:
+    return lookup.csr(rows, key, value).withColumn("members", F.array_join(F.transform("members", lambda v: v.cast("string")), ","))
+
+
+@query(_csr_sql("chain_idx", "residue_idx"))
+def csr_chain_residues(spark, sf_dir):
+    return _csr(lookup.residue_chains(scene(spark, sf_dir).atoms), "chain_idx", "residue_idx")
+
+
+@query(_csr_sql("residue_idx", "atom_idx"))
+def csr_residue_atoms(spark, sf_dir):
+    return _csr(scene(spark, sf_dir).atoms, "residue_idx", "atom_idx")
+
+
+@query(_csr_sql("chain_idx", "atom_idx"))
+def csr_chain_atoms(spark, sf_dir):
+    return _csr(scene(spark, sf_dir).atoms, "chain_idx", "atom_idx")
+
+
+def _bonds_by_sql(key: str) -> str:
+    return over(_BONDS) + f""", nb as (select *, row_number() over (partition by structure_id order by a, b) - 1 as bond from bonds),
+        ends as (select distinct nb.structure_id, bond, f.{key} from nb join f on f.structure_id = nb.structure_id and f.atom_idx in (nb.a, nb.b))
+        select structure_id, {key}, array_to_string(list_sort(list(bond)), ',') as bonds from ends group by 1, 2"""
+
+
+def _bonds_by(spark, sf_dir, key: str) -> DataFrame:
+    s = scene(spark, sf_dir)
+    return lookup.bonds_by(s.bonds, s.atoms, key).withColumn("bonds", F.array_join(F.transform("bonds", lambda v: v.cast("string")), ","))
+
+
+@query(_bonds_by_sql("atom_idx"))
+def bonds_by_atom(spark, sf_dir):
+    return _bonds_by(spark, sf_dir, "atom_idx")
+
+
+@query(_bonds_by_sql("residue_idx"))
+def bonds_by_residue(spark, sf_dir):
+    return _bonds_by(spark, sf_dir, "residue_idx")
+
+
+@query(_bonds_by_sql("chain_idx"))
+def bonds_by_chain(spark, sf_dir):
+    return _bonds_by(spark, sf_dir, "chain_idx")
+
+
+_KEPT = """, kept as (
+    select *, (row_number() over (partition by structure_id order by atom_idx) - 1)::int as new_atom, (dense_rank() over (partition by structure_id order by residue_idx) - 1)::int as new_residue,
+        (dense_rank() over (partition by structure_id order by chain_idx) - 1)::int as new_chain from f where chain_id in ('A', 'R')
+)"""
+
+
+@query(over(_KEPT) + "select structure_id, atom_idx as old_atom_idx, new_atom as atom_idx, new_residue as residue_idx, new_chain as chain_idx from kept")
+def subset_chains(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    atoms, _ = subset.subset_chains(s.atoms, s.bonds, keep_two(s))
+    return atoms.select("structure_id", "old_atom_idx", "atom_idx", "residue_idx", "chain_idx")
+
+
+@query(over(_BONDS, _KEPT) + "select b.structure_id, p.new_atom as a, q.new_atom as b, bond_order from bonds b join kept p on p.structure_id = b.structure_id and p.atom_idx = b.a join kept q on q.structure_id = b.structure_id and q.atom_idx = b.b")
+def subset_bonds(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    return subset.subset_chains(s.atoms, s.bonds, keep_two(s))[1]
+
+
+@query(over(_KEPT) + "select structure_id, atom_idx as old_atom_idx, new_atom as atom_idx, residue_idx, chain_idx from kept")
+def filter_chains(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    atoms, _ = subset.filter_chains(s.atoms, s.bonds, keep_two(s))
+    return atoms.select("structure_id", "old_atom_idx", "atom_idx", "residue_idx", "chain_idx")
+
+
+@query(over(_POINTS, _KEPT) + """, q as (
+        select p.*, point - row_number() over (partition by structure_id, segment order by point) as island, (row_number() over (partition by structure_id order by point) - 1)::int as new_point
+        from p where size >= 2 and (structure_id, residue_idx) in (select structure_id, residue_idx from kept)
+    ) select structure_id, new_point, point, segment, residue_idx, case when count(*) over w >= 2 then min(new_point) over w end as run_start, case when count(*) over w >= 2 then max(new_point) over w + 1 end as run_end
+    from q window w as (partition by structure_id, segment, island)""")
+def subset_backbone_runs(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    return subset.backbone_runs(s.points, subset.kept_atoms(s.atoms, keep_two(s)))
+
+
+@query(over(_SPANS, _KEPT) + "select structure_id, span, kind, min(residue_idx) as start_residue, max(residue_idx) as end_residue from spans join (select distinct structure_id, residue_idx from kept) using (structure_id) where residue_idx between start_residue and end_residue group by 1, 2, 3")
+def subset_spans(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    return subset.subset_spans(s.spans, subset.kept_atoms(s.atoms, keep_two(s)))
+
+
+@query(over() + "select structure_id, atom_idx, concat_ws(' · ', chain_id, res_name || ' ' || res_seq, name, element, '#' || (i + 1)) as label from f")
+def atom_labels(spark, sf_dir):
+    return lookup.atom_labels(scene(spark, sf_dir).selections)
+
+
+@query(over(_BONDS) + "select b.structure_id, a, b, bond_order, p.i + 1 as serial_a, q.i + 1 as serial_b, p.res_name as res_a, q.res_name as res_b from bonds b join f p on p.structure_id = b.structure_id and p.atom_idx = a join f q on q.structure_id = b.structure_id and q.atom_idx = b.b")
+def bond_selection(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    got = lookup.bond_selections(s.bonds, s.selections)
+    return got.select("structure_id", "a", "b", "bond_order", F.col("atom_a.serial").alias("serial_a"), F.col("atom_b.serial").alias("serial_b"), F.col("atom_a.res_name").alias("res_a"), F.col("atom_b.res_name").alias("res_b"))
+
+
+_RAYS = [(0, -10.0, 5.0, 4.0, 1.0, 0.0, 0.0), (1, 25.0, -10.0, 3.0, 0.0, 1.0, 0.0), (2, -5.0, 1.0, 2.0, 0.8, 0.0, 0.6)]
+
+
+@query(over() + ", y as (select * from (values " + ", ".join(str(r) for r in _RAYS) + """) v(ray, ox, oy, oz, dx, dy, dz)), m as (
+        select structure_id, atom_idx, ray, ((ox - x) * dx + (oy - y) * dy + (oz - z) * dz)::double as b, ((ox - x) * (ox - x) + (oy - y) * (oy - y) + (oz - z) * (oz - z))::double - vdw * vdw as q from (select structure_id, atom_idx, x, f.y as y, z, vdw from f) f, (select ray, ox::double as ox, oy::double as oy, oz::double as oz, dx::double as dx, dy::double as dy, dz::double as dz from y) rays
+    ), t as (select structure_id, ray, atom_idx, -b - sqrt(b * b - q) as t from m where b * b - q >= 0)
+    select structure_id, ray, arg_min(atom_idx, (round(t, 9), atom_idx)) as atom_idx, round(min(t), 6) as t from t where t >= 0 group by 1, 2""")
+def ray_nearest_hit(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    rays = spark.createDataFrame(_RAYS, "ray int, ox double, oy double, oz double, dx double, dy double, dz double")
+    each = s.chains.select("structure_id").distinct().join(F.broadcast(rays))  # a fixed set of three rays for each structure
+    return lookup.ray_hits(s.atoms, each).withColumn("t", F.round("t", 6))
+
+
+@query(over() + "select structure_id, round(greatest(1e-4, avg(vdw) * 2.0), 9)::double as cell from f group by 1")
+def pick_grid_cells(spark, sf_dir):
+    return lookup.pick_cell(scene(spark, sf_dir).atoms).withColumn("cell", F.round("cell", 9))
+
+
+@query(over(_BONDS) + """select bo.structure_id, bo.a, bo.b, (p.x + q.x) / 2 as mx, (p.y + q.y) / 2 as my, (p.z + q.z) / 2 as mz, round(sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2), 9)::double as length
+    from bonds bo join f p on p.structure_id = bo.structure_id and p.atom_idx = bo.a join f q on q.structure_id = bo.structure_id and q.atom_idx = bo.b""")
+def bond_tubes(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    return geometry.bond_tubes(s.bonds, s.atoms).select("structure_id", "a", "b", "mx", "my", "mz", F.round("length", 9).alias("length"))
+
+
+@query(over(_BONDS) + "select bo.structure_id, a, b, v as vertex, f.x, f.y, f.z from (select *, unnest([0, 1]) as v from bonds) bo join f on f.structure_id = bo.structure_id and f.atom_idx = case v when 0 then a else b end")
+def bond_lines(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    return geometry.bond_lines(s.bonds, s.atoms).select("structure_id", "a", "b", "vertex", "x", "y", "z")
+
+
+@query(over() + "select structure_id, chain_idx, ['69d2e7', 'a7dbd8', 'e0e4cc'][chain_idx + 1] as colour from c")
+def chain_colours(spark, sf_dir):
+    return scene(spark, sf_dir).chains.select("structure_id", "chain_idx", chain_colour(F.col("chain_idx")).alias("colour"))
+
+
+@query(over() + "select structure_id, (min(x) + max(x)) / 2 as centre_x, (min(y) + max(y)) / 2 as centre_y, (min(z) + max(z)) / 2 as centre_z, round(greatest(max(x) - min(x), max(y) - min(y)) / 2 / tan(radians(60) / 2) * 1.6, 6)::double as distance from a group by 1")
+def camera_frame(spark, sf_dir):
+    return A.camera(A.bounding_boxes(scene(spark, sf_dir).raw)).withColumn("distance", F.round("distance", 6))
+
+
+def _voxels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    atoms = surface.surface_input(scene(spark, sf_dir).atoms)
+    grid = surface.grids(atoms, "vdw", voxel=1.0)
+    return surface.fill(atoms, grid, "vdw"), grid
+
+
+@query(over(_VOXELS) + "select structure_id, i, j, k, (best % 1000000)::int as atom_idx, (best // 1000000)::int as d2 from vox")
+def voxel_fill_owner(spark, sf_dir):
+    return _voxels(spark, sf_dir)[0]
+
+
+@query(over(_VOXELS) + """, nb as (select x.structure_id, x.i, x.j, x.k, count(*) as n_full from vox x, o p, o q, o w, vox y
+        where abs(p.d) <= 1 and abs(q.d) <= 1 and abs(w.d) <= 1 and (p.d <> 0 or q.d <> 0 or w.d <> 0) and y.structure_id = x.structure_id and y.i = x.i + p.d and y.j = x.j + q.d and y.k = x.k + w.d group by all)
+    select structure_id, i, j, k from vox left join nb using (structure_id, i, j, k) where coalesce(n_full, 0) < 26""")
+def voxel_boundary(spark, sf_dir):
+    voxels, grid = _voxels(spark, sf_dir)
+    return surface.boundary(voxels, grid)
+
+
+@query(over(_VOXELS) + """, cells as (select structure_id, i - p.d as ci, j - q.d as cj, k - w.d as ck, list(p.d + 2 * q.d + 4 * w.d) as m from vox, o p, o q, o w where p.d in (0, 1) and q.d in (0, 1) and w.d in (0, 1) group by all having count(*) < 8),
+        e as (select unnest([(0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3), (4, 6), (5, 7), (0, 4), (1, 5), (2, 6), (3, 7)]) as e),
+        mid as (select structure_id, ci, cj, ck, e[1] as u, e[2] as v from cells, e where list_contains(m, e[1]) <> list_contains(m, e[2]))
+    select structure_id, ci::int as i, cj::int as j, ck::int as k, round(ci + avg((u % 2 + v % 2) / 2), 6) as x, round(cj + avg(((u // 2) % 2 + (v // 2) % 2) / 2), 6) as y, round(ck + avg((u // 4 + v // 4) / 2), 6) as z from mid group by structure_id, ci, cj, ck""")
+def surface_net_vertices(spark, sf_dir):
+    voxels, grid = _voxels(spark, sf_dir)
+    return surface.net_vertices(voxels, grid).select("structure_id", "i", "j", "k", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query()
+def vdw_surface(spark, sf_dir):
+    """Faces and their area by structure, from the whole relational surface."""
+    _, faces = surface.surface(scene(spark, sf_dir).atoms, "vdw", voxel=1.0)
+    area = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")) / 2
+    return faces.groupBy("structure_id").agg(F.count("*").alias("n_faces"), F.round(F.sum(area), 3).alias("area"))
+
+
+@query()
+def ses_surface(spark, sf_dir):
+    vertices, _ = surface.surface(scene(spark, sf_dir).atoms, "ses", voxel=1.0)
+    return vertices.groupBy("structure_id").agg(F.count("*").alias("n_vertices"))
+
+
+@query()
+def ribbon_flat(spark, sf_dir):
+    s = scene(spark, sf_dir)
+    return geometry.flat_ribbons(s.points, s.atoms, B.residue_kinds(s.spans)).groupBy("structure_id", "segment").agg(F.count("*").alias("n_corners"))
+
+
+@query("select p_partkey as source, trim(t) as entry_id, count(*) as n from (select p_partkey, unnest(regexp_split_to_array(p_name || ', ' || p_brand || chr(10) || p_type || ',,' || p_brand, '[,\\n]')) as t from part) where trim(t) <> '' group by 1, 2")
+def ids_split(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat("p_name", F.lit(", "), "p_brand", F.lit("\n"), "p_type", F.lit(",,"), "p_brand")
+    return catalog.split_ids(part.select(F.col("p_partkey").alias("source"), text.alias("text"))).groupBy("source", "entry_id").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey, ((row_number() over (order by o_orderkey) - 1) // 1000)::bigint as page, ((row_number() over (order by o_orderkey) - 1) % 1000)::bigint as place from orders")
+def page_enumerate(spark, sf_dir):
+    return catalog.number_pages(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey")
+
+
+@query("select doc_id as entry_id from documents where doc_id not in (select doc_id from labels)")
+def topup_anti_join(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col("doc_id").alias("entry_id")) for t in ("documents", "labels"))
+    return catalog.top_up(docs, labels)
+
+
+@query()
+def sample_hash_k(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("entry_id"))
+    return catalog.sample(orders, 10, seed=42)
+
+
+@query("select count(*) filter (where event_type in ('purchase', 'view')) as ok, count(*) filter (where event_type not in ('purchase', 'view')) as failed from events")
+def event_success_counts(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "download_ok").when(F.col("event_type") == "view", "download_skip").otherwise("download_error")
+    return catalog.success_counts(spark.read.parquet(f"{sf_dir}/events.parquet").select(kind.alias("event")))
+
+
+@query(over(_BONDS) + """, alt as (select distinct structure_id from s where place > 1), heu as (select distinct structure_id from bonds)
+    select (select count(*) from (select structure_id from alt union select structure_id from heu)) as n_structures, (select count(*) from alt) as altloc, (select count(*) from heu) as heuristic, 0 as coordinates, 0 as other""")
+def warning_categories(spark, sf_dir):
+    return catalog.warning_categories(scene(spark, sf_dir).warnings)
