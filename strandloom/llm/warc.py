@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, stored
 
 CAPTURED = "20000101000000"
+#: Rows of a few hundred bytes, so a few dozen MB at most.
+BROADCAST_ROWS = 100_000
 #: Fixed formats: the fields of an ARC record's header line by version.
 FIELDS = {
     "1": ["url", "ip", "date", "type", "length"],
@@ -155,7 +157,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
     first = index.filter(F.col("size") >= revisit_from).groupBy("digest", "size").agg(F.min(place).alias("f"), F.count("*").alias("copies")).filter("copies > 1")
     again = index.join(first, ["digest", "size"]).filter(~((F.col("file") == F.col("f.file")) & (F.col("n") == F.col("f.n"))))
     again = again.select("file", "n", F.col("f.page_id").alias("to_page"), F.col("f.url").alias("to_url"), F.col("f.date").alias("to_date"), F.lit(True).alias("revisit"))
-    records = arc_records(spark, arc_path, True).join(again.hint("shuffle_hash"), ["file", "n"], "left")
+    again = stored(again, "revisits")
+    # a short list of revisits goes to every task; a longer one is met by a shuffle of the records
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again.hint("shuffle_hash")
+    records = arc_records(spark, arc_path, True).join(again, ["file", "n"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started = False
