@@ -121,7 +121,7 @@ def element_infer(spark, sf_dir):
 
 
 @query("""select p_partkey, case substr(p_brand, 7, 1) when '1' then 'CA' when '2' then 'C' when '3' then 'D' when '4' then 'NE' else null end as symbol,
-    case substr(p_brand, 7, 1) when '1' then 20 when '2' then 6 when '4' then 10 else 0 end as code, case substr(p_brand, 7, 1) when '1' then 2.31 else 1.7 end as radius from part""")
+    case substr(p_brand, 7, 1) when '1' then 20 when '2' then 6 when '4' then 10 else 0 end as code, (case substr(p_brand, 7, 1) when '1' then 2.31 else 1.7 end)::double as radius from part""")
 def element_fallback(spark, sf_dir):
     """Inference from the name where the element field is blank or odd."""
     kind = F.substring("p_brand", 7, 1)
