@@ -113,7 +113,7 @@ def _ranked(rows: DataFrame, *block: str) -> DataFrame:
 
 def _sweep(waiting: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
     """item_id, length, sequence_id (null if no gap takes the piece)."""
-    share = F.greatest(F.lit(1), F.floor(F.col("gap") / high)).cast("int")
+    share = F.greatest(F.lit(1), F.floor(F.col("gap") / high)).cast("int")  # a gap is cut into slots for the longest that waits
     slots = gaps.filter(F.col("gap") > low).select(
         F.floor(F.col("gap") / share).cast("int").alias("size"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("item_id"), "sequence_id", F.explode(F.sequence(F.lit(1), share)).alias("slot"), F.lit(-1).alias("sign")
     )
@@ -146,20 +146,22 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, sweeps: int = 2) -> Dat
     band_of = F.lit(-1)
     for k, (high, low) in enumerate(bands):
         band_of = F.when((F.col("length") > low) & (F.col("length") <= high), k).otherwise(band_of)
-    present = {r[0] for r in items.groupBy(band_of.alias("band")).count().collect()}
+    longest = {r[0]: r[1] for r in items.groupBy(band_of.alias("band")).agg(F.max("length")).collect()}
 
     # a piece of over half the capacity opens its own sequence
     placed = items.filter(F.col("length") > edges[0]).select("item_id", "length", F.col("item_id").alias("sequence_id"))
     for k, (high, low) in enumerate(bands):
-        if k not in present:
+        if k not in longest:
             continue
+        high = longest[k]
         waiting = items.filter((F.col("length") > low) & (F.col("length") <= high))
         for _ in range(sweeps):
             gaps = placed.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("gap"))
             done = stored(_sweep(waiting, gaps, low, high), "sweep")
             placed = placed.unionByName(done.filter("sequence_id is not null"))
             waiting = done.filter("sequence_id is null")
-            if waiting.isEmpty():
+            high = waiting.agg(F.max("length")).first()[0]
+            if high is None:
                 break
         else:
             placed = placed.unionByName(stored(_open(waiting, capacity, high, k), "opened"))
