@@ -46,8 +46,8 @@ def _automaton(voters: tuple[str, ...]):
 
 
 def voter_counts(text: str | None, voters: tuple[str, ...]) -> tuple[np.ndarray, int]:
-    """How often each voter matches, and the number of words. Words are runs of letters, digits and non-ASCII."""
-    parts = norm_words(text)
+    """How often each voter matches, and the number of words. Words are runs of letters, digits and non-ASCII, in lower case."""
+    parts = norm_words((text or "").lower())
     counts = np.zeros(len(voters), np.int64)
     if parts and voters:
         joined = (b" " + b" ".join(parts) + b" ").decode("latin-1")
@@ -73,7 +73,7 @@ def discover_voters(rows: DataFrame, max_voters: int = MAX_VOTERS) -> list[str]:
             out, toxic = [], []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = set()
-                for w in {p.decode() for p in norm_words(text)}:
+                for w in {p.decode() for p in norm_words((text or "").lower())}:
                     seen.add(w)
                     seen.update(w[:n] + "*" for n in PREFIXES if len(w) > n)
                 out += seen
