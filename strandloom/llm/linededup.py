@@ -133,7 +133,8 @@ def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, max_filter_bytes: int =
     suspects = stored(_suspects(plain, packed, bits, min_key), "suspects")
     some, nulls = F.count("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))
     confirmed = suspects.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), some.alias("n"), nulls.alias("n_null"))
-    confirmed = confirmed.filter("first_id <> last_id or (n > 0 and n_null > 0)").select("key", "first_id")
+    # read back from a table, both sides of the join are dealt for it alone, so Spark may split the rows of a hot line
+    confirmed = stored(confirmed.filter("first_id <> last_id or (n > 0 and n_null > 0)").select("key", "first_id"), "confirmed")
     lost = suspects.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     lost = lost.groupBy(F.col("doc_id").alias("__lost_id")).agg(F.collect_set("key").alias("__lost"))
     base = docs.drop("n_lines", "n_dropped").withColumn("text", F.col("text").cast("string"))
