@@ -3,21 +3,20 @@
 ``token_pieces`` turns documents into pieces of at most ``capacity`` tokens, ``best_fit`` places pieces in
 sequences, ``packed_sequences`` joins both into finished sequences.
 
-Placement is bulk-synchronous best-fit. Pieces are taken in bands of falling length. In a sweep, waiting pieces and
-the gaps of open sequences are range-sorted together by size. Going up this order, each piece raises the number of
-waiting pieces by one and each gap lowers it by one; a gap takes the piece that waits at its level, which is the
-largest one that fits and that no smaller gap takes. So conflicts for a gap are resolved by rank, and one window over
-the levels matches all pieces of a sweep. Then the gaps are updated and the next sweep starts; what no gap takes
-opens new sequences.
-
-Sizes are integers up to ``capacity``, so the range sort uses (size, kind, salt) as exact range boundaries: block
-counts give the base rank of each block, a window the rank inside it. Salting splits a length that a third of all
-pieces may share. A level holds at most two rows a size, whatever the number of pieces.
+Placement is best-fit by falling length: each piece goes to the sequence with the smallest gap that takes it, and opens
+a new one only if no gap does. Pieces of one length are alike, and so are sequences of one gap; so the choice needs only
+the number of pieces of each length. ``fit_runs`` makes it from these counts (at most ``capacity``), whatever the number
+of pieces, with sequences as ranges of numbers: a range that takes a length keeps less than half its gap, so it is
+taken at most log2(capacity) times, and a length adds at most four ranges. The result is that of placing piece by piece.
+
+Pieces then find their place by their rank among those of their length. Salting splits a length that a third of all
+pieces may share: block counts give the base rank of each (length, salt), a window the rank inside it.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -100,73 +99,77 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[st
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tokenise, schema)
 
 
-def _ranked(rows: DataFrame, *block: str) -> DataFrame:
-    """Add n_before (rows in earlier blocks, signed by ``sign``) and rank (from 1 inside the block)."""
-    block = (*block, "salt")
-    counts = rows.groupBy(*block).agg(F.sum("sign").alias("n"))
-    order = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*block, F.coalesce(F.sum("n").over(order), F.lit(0)).alias("n_before"))
-    inside = Window.partitionBy(*block).orderBy("item_id", "sequence_id", "slot")
-    # at most sizes x kinds x salts rows, whatever the input
-    return rows.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(base), list(block))
-
-
-def _sweep(waiting: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
-    """item_id, length, sequence_id (null if no gap takes the piece)."""
-    share = F.greatest(F.lit(1), F.floor(F.col("gap") / high)).cast("int")  # a gap is cut into slots for the longest that waits
-    slots = gaps.filter(F.col("gap") > low).select(
-        F.floor(F.col("gap") / share).cast("int").alias("size"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("item_id"), "sequence_id", F.explode(F.sequence(F.lit(1), share)).alias("slot"), F.lit(-1).alias("sign")
-    )
-    pieces = waiting.select(F.col("length").cast("int").alias("size"), F.lit(0).alias("kind"), "item_id", F.lit(None).cast("long").alias("sequence_id"), F.lit(0).alias("slot"), F.lit(1).alias("sign"))
-    both = pieces.unionByName(slots).withColumn("salt", F.pmod(F.xxhash64("item_id", "sequence_id", "slot"), F.lit(SALTS)))
-    ranked = _ranked(both, "size", "kind")
-    level = F.when(F.col("kind") == 0, F.col("n_before") + F.col("rank")).otherwise(F.col("n_before") - F.col("rank") + 1)
-    at_level = Window.partitionBy("level").orderBy("size", "kind")
-    met = ranked.withColumn("level", level).withColumn("next", F.lead("sequence_id").over(at_level))
-    return met.filter("kind = 0").select("item_id", F.col("size").cast("long").alias("length"), F.col("next").alias("sequence_id"))
-
-
-def _open(waiting: DataFrame, capacity: int, high: int, band: int) -> DataFrame:
-    """New sequences for pieces that no gap took: as many neighbours by length as surely fit together."""
-    rows = waiting.select(
-        (-F.col("length")).cast("int").alias("size"), "item_id", F.lit(None).cast("long").alias("sequence_id"), F.lit(0).alias("slot"), F.lit(1).alias("sign"), F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).alias("salt")
-    )
-    number = F.floor((F.col("n_before") + F.col("rank") - 1) / (capacity // high)).cast("long")
-    return _ranked(rows, "size").select("item_id", (-F.col("size")).cast("long").alias("length"), (-number - F.lit((band << 48) + 1)).alias("sequence_id"))
-
-
-def best_fit(items: DataFrame, capacity: int = CAPACITY, sweeps: int = 2) -> DataFrame:
+def fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit of ``counts`` (pieces by length) by falling length, in runs of (length, rank, sequence, each, offset).
+
+    A run starts at the piece with this rank among those of its length (from 0) and deals ``each`` pieces a sequence,
+    from ``sequence`` on, the first at ``offset``; it ends where the next run of the length starts."""
+    runs: list[tuple[int, int, int, int, int]] = []
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: ranges of sequences (first, number)
+    order: list[int] = []  # the gaps that stand, rising
+
+    def put(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in gaps:
+                gaps[gap] = []
+                insort(order, gap)
+            gaps[gap].append((first, n))
+
+    opened = 0
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            at = bisect_left(order, length)
+            if at == len(order):
+                new = -(-left // (capacity // length))
+                put(capacity, opened, new)
+                opened += new
+            gap = order[at]
+            each = gap // length
+            first, n = gaps[gap].pop()
+            if not gaps[gap]:
+                del gaps[gap], order[at]
+            runs.append((length, rank, first, each, capacity - gap))
+            full = min(n, left // each)
+            rest = min(left - full * each, each - 1) if full < n else 0  # pieces of a last sequence that they do not fill
+            put(gap - each * length, first, full)
+            put(gap - rest * length, first + full, 1 if rest else 0)
+            put(gap, first + full + bool(rest), n - full - bool(rest))
+            rank += full * each + rest
+            left -= full * each + rest
+    return runs
+
+
+def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Place ``items`` (item_id: distinct long, length: 1 to capacity) in sequences: item_id, sequence_id, offset.
 
-    Each sequence is gapless from offset 0. ``sweeps`` is the number of matching sweeps a band gets before what is
-    left opens new sequences; no item is ever left out. No items give no rows."""
-    items = items.select("item_id", F.col("length").cast("long").alias("length"))
-    edges = [e for e in (capacity // 2, capacity // 4, capacity // 8, capacity // 16, capacity // 64) if e]
-    bands = list(zip(edges, [*edges[1:], 0], strict=True))
-    band_of = F.lit(-1)
-    for k, (high, low) in enumerate(bands):
-        band_of = F.when((F.col("length") > low) & (F.col("length") <= high), k).otherwise(band_of)
-    longest = {r[0]: r[1] for r in items.groupBy(band_of.alias("band")).agg(F.max("length")).collect()}
-
-    # a piece of over half the capacity opens its own sequence
-    placed = items.filter(F.col("length") > edges[0]).select("item_id", "length", F.col("item_id").alias("sequence_id"))
-    for k, (high, low) in enumerate(bands):
-        if k not in longest:
-            continue
-        high = longest[k]
-        waiting = items.filter((F.col("length") > low) & (F.col("length") <= high))
-        for _ in range(sweeps):
-            gaps = placed.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("gap"))
-            done = stored(_sweep(waiting, gaps, low, high), "sweep")
-            placed = placed.unionByName(done.filter("sequence_id is not null"))
-            waiting = done.filter("sequence_id is null")
-            high = waiting.agg(F.max("length")).first()[0]
-            if high is None:
-                break
-        else:
-            placed = placed.unionByName(stored(_open(waiting, capacity, high, k), "opened"))
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "item_id")
-    return placed.select("item_id", "sequence_id", (F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"))
+    Each sequence is gapless from offset 0; no item is ever left out. No items give no rows. ``items`` is read twice
+    and must give the same rows both times."""
+    salt = F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int")
+    rows = items.select("item_id", F.col("length").cast("long").alias("length"), salt.alias("salt"))
+    blocks = sorted(map(tuple, rows.groupBy("length", "salt").agg(F.count("*")).collect()))  # at most capacity x salts
+    base = np.zeros((capacity + 1) * SALTS, np.int64)
+    counts: dict[int, int] = {}
+    for length, k, n in blocks:
+        base[length * SALTS + k] = counts.get(length, 0)
+        counts[length] = counts.get(length, 0) + n
+    runs = np.array(sorted(fit_runs(counts, capacity)), np.int64).reshape(-1, 5)
+    sent = items.sparkSession.sparkContext.broadcast((base, runs))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, runs = sent.value
+        starts = (runs[:, 0] << 48) + runs[:, 1]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            length, k, inside = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+            rank = base[length * SALTS + k] + inside - 1
+            run = runs[np.searchsorted(starts, (length << 48) + rank, "right") - 1]
+            nth, turn = np.divmod(rank - run[:, 1], run[:, 3])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(run[:, 2] + nth), pa.array(run[:, 4] + turn * length)], ["item_id", "sequence_id", "offset"])
+
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("item_id")))
+    return ranked.mapInArrow(place, "item_id long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str, str] | None = None, with_ids: bool = True) -> DataFrame:
