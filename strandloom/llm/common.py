@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts name it: space, tab, LF, VT, FF, CR.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Name of the row number that operators add to whole tables.
+ROW = "__row"
 WORD = r"[^\x20\x09-\x0D]+"
 
 

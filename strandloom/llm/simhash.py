@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ROW, stored
 from .graph import connected_components
 
 SHINGLE = 4
@@ -48,16 +48,16 @@ def simhash64(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row; a null text has no words."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
+    """doc_id (or another column), fp (the 64 bits as a signed long) for every row; a null text has no words."""
+    id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([simhash64(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], [id_column, "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select(id_column, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{id_column} {id_type}, fp long")
 
 
 def segments(n_segments: int, max_bits: int = MAX_BITS) -> list[tuple[int, int, int]]:
@@ -94,6 +94,15 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, n_segments: int =
     return probe_side.alias("p").join(stored_side.alias("s"), near).select("u", "v").distinct()
 
 
+def _linked_classes(prints: DataFrame, first: str, max_bits: int, n_segments: int | None) -> DataFrame:
+    """fp, first (the smallest of this column), component for each distinct fp of ``prints``."""
+    classes = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    if n_segments is None:
+        n_segments = 3 if classes.count() < WIDE_FROM else 2
+    member = connected_components(near_links(classes, max_bits, n_segments))
+    return classes.join(member, classes["fp"] == member["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, n_segments: int | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``.
 
@@ -102,20 +111,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, n_segments: int |
     only has a null component_id. Repeated rows share everything. An empty table gives no rows; columns besides
     doc_id and text are ignored."""
     prints = stored(fingerprints(docs), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    if n_segments is None:
-        n_segments = 3 if classes.count() < WIDE_FROM else 2
-    member = connected_components(near_links(classes, max_bits, n_segments))
-    linked = classes.join(member, classes["fp"] == member["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    first = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    linked = _linked_classes(prints, "doc_id", max_bits, n_segments)
+    first = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     named = linked.join(first, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The document with the smallest doc_id of every component, all columns; its repeated rows become one."""
-    found = near_duplicates(docs.select("doc_id", "text"), max_bits)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    keep = kept.select(F.col("doc_id").alias("__keep_id"))
-    same = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__keep_id")), "left_semi")
-    return same
+    """Exactly one row of every component, all columns: the one with the smallest doc_id.
+
+    A null doc_id comes last; among rows that repeat a doc_id, the first by position stays. Where a doc_id stands with
+    two texts, each row belongs to the component of its own text."""
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
+    prints = stored(fingerprints(rows.select(place.alias("place"), "text"), id_column="place"), "prints")
+    kept = _linked_classes(prints, "place", max_bits, None).groupBy("component").agg(F.min("first").alias("first")).select(f"first.{ROW}")
+    return rows.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from strandloom.llm import packing
+from strandloom.llm import packing, simhash
 from test_contracts import best_fit_count
 
 
@@ -41,3 +41,18 @@ def test_packing_plan_stays_small():
     for n in (100, 1_000_000):
         runs = packing.fit_runs({length: n + length for length in range(1, 2049)}, 2048)
         assert len(runs) < 4 * 2048 * 12 and Counter(r[0] for r in runs).keys() == set(range(1, 2049))
+
+
+COPY = "one text that stands in many rows of the table as it was crawled again and again"
+OTHER = "something else entirely was written under an id that another row of this table has too"
+THIRD = "rows without any id may hold texts that nobody else in the whole table has ever held"
+FOURTH = "yet another passage about rivers and bridges and boats that only null ids carry here"
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(5, COPY), (5, COPY), (7, COPY), (None, COPY), (5, OTHER), (3, OTHER), (None, THIRD), (None, THIRD), (None, FOURTH), (9, None), (8, "")]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(4)
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert kept == Counter([(5, COPY), (3, OTHER), (None, THIRD), (None, FOURTH), (8, "")])
