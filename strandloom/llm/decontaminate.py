@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ROW, stored
 
 WINDOW = 10
 MAX_WINDOWS = 200_000
@@ -138,6 +138,12 @@ def _merge(spans: str, low: str, high: str):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
 
 
+def _blocks(found: DataFrame, n: int, max_windows: int) -> Iterator[list]:
+    n_blocks = -(-n // (max_windows // 2))  # hashed blocks differ a little in size
+    for k in range(n_blocks):
+        yield found.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == k).collect()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, hit (spans of word numbers), where (their code point offsets
     in the original text), items (item_ids as sorted strings).
@@ -151,34 +157,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     if n <= max_windows:
         return _scan(docs, found.orderBy("words").collect(), False)
     docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    n_blocks = -(-n // (max_windows // 2))  # hashed blocks differ a little in size
     whole = None
-    for k in range(n_blocks):
-        block = found.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == k).collect()
+    for block in _blocks(found, n, max_windows):
         part = _scan(docs, block, True)
         whole = part if whole is None else whole.unionByName(part)
     each = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("where")).alias("where"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return each.select("doc_id", "n_words", _merge("hit", "first", "last").alias("hit"), _merge("where", "begin", "end").alias("where"), "items")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of ``docs`` without any benchmark window, all columns; the text is scanned in the task that reads it."""
-    block = stored(windows_of(benchmark, window), "windows")
-    if block.count() > MAX_WINDOWS:
-        found = contamination(docs, benchmark, window).filter(F.size("items") > 0).select(F.col("doc_id").alias("__hit_id")).distinct()
-        return docs.join(found.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__hit_id")), "left_anti")
-    sent = docs.sparkSession.sparkContext.broadcast(tuple((r["words"], r["length"]) for r in block.orderBy("words").collect()))
-    names = docs.columns
-    at = names.index("text")
+def _by_hit(docs: DataFrame, block: list, hit: bool) -> DataFrame:
+    """Rows of ``docs`` with or without a window of ``block``."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple((r["words"], r["length"]) for r in block))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(sent.value)
         for batch in batches:
-            clean = [not _spans(norm_words(t), automaton, len(sent.value))[1] for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            found = [bool(_spans(norm_words(t), automaton, len(sent.value))[1]) == hit for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Rows of ``docs`` without any benchmark window, all columns; each row is judged by its own text, whatever its id.
+
+    Up to ``max_windows`` windows the text is scanned in the task that reads it, above that block by block."""
+    found = stored(windows_of(benchmark, window), "windows")
+    n = found.count()
+    if n <= max_windows:
+        return _by_hit(docs, found.orderBy("words").collect(), False)
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    whole = None
+    for block in _blocks(found, n, max_windows):
+        part = _by_hit(rows.select(ROW, "text"), block, True).select(ROW)
+        whole = part if whole is None else whole.unionByName(part)
+    return rows.join(whole.distinct().hint("shuffle_hash"), ROW, "left_anti").select(*docs.columns)
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()

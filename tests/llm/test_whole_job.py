@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from strandloom.llm import packing, simhash
+from strandloom.llm import decontaminate, packing, simhash
 from test_contracts import best_fit_count
 
 
@@ -56,3 +56,15 @@ def test_one_row_of_each_component_stays(spark):
     assert out.columns == docs.columns
     kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
     assert kept == Counter([(5, COPY), (3, OTHER), (None, THIRD), (None, FOURTH), (8, "")])
+
+
+@pytest.mark.parametrize("max_windows", [2, 200_000])
+def test_rows_are_judged_by_their_own_text(spark, max_windows):
+    """A contaminated row takes neither rows without id nor rows of its id with it, also where the benchmark is cut in blocks."""
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(None, f"before {leak}"), (None, COPY), (None, None), (1, f"{leak} after"), (1, OTHER), (1, OTHER), (2, THIRD), (3, leak.upper())]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, row string").repartition(3)
+    benchmark = spark.createDataFrame([("b1", leak), ("b2", "words of other items " * 5)], "item_id string, text string")
+    out = decontaminate.clean_documents(docs, benchmark, max_windows=max_windows)
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(None, COPY), (None, None), (1, OTHER), (1, OTHER), (2, THIRD)])
