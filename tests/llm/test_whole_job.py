@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from strandloom.llm import decontaminate, packing, simhash
+from strandloom.llm import decontaminate, packing, pagetext, simhash
 from test_contracts import best_fit_count
 
 
@@ -68,3 +68,25 @@ def test_rows_are_judged_by_their_own_text(spark, max_windows):
     out = decontaminate.clean_documents(docs, benchmark, max_windows=max_windows)
     assert out.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(None, COPY), (None, None), (1, OTHER), (1, OTHER), (2, THIRD)])
+
+
+BODY = "the body of the article has many more words than its title"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f'<main><h1 class="post-title">T</h1><p>{BODY}</p></main>', f"T\n{BODY}"),
+    (f'<main><h1 class="post">T</h1><p>{BODY}</p></main>', f"T\n{BODY}"),
+    (f'<main><div class="entry"><h1>T</h1></div><p>{BODY}</p></main>', f"T\n{BODY}"),
+    (f'<div class="entry-meta">today</div><div class="entry-content"><p>{BODY}</p></div>', BODY),
+    (f'<main><h2>more</h2><article class="post"><p>{BODY}</p></article></main>', BODY),
+    (f'<p class="text-center">short</p><p>{BODY}</p>', None),
+    (f'<p>{BODY} <span class="body-small">small</span></p><p>{BODY}</p>', None),
+    (f'<div class="content">short</div><p>{BODY}</p><p>{BODY}</p>', None),
+])
+def test_marks_of_decoration_do_not_decide(page, text):
+    assert pagetext.marked_text(pagetext.page_blocks(page)) == text
+
+
+def test_page_with_decoration_stays_whole(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/1", f'<p class="text-center">short</p><p>{BODY}</p>')], "page_id long, url string, html string")
+    assert pagetext.main_text(pages).first()["text"] == f"short\n{BODY}"
