@@ -90,3 +90,21 @@ def test_marks_of_decoration_do_not_decide(page, text):
 def test_page_with_decoration_stays_whole(spark):
     pages = spark.createDataFrame([(1, "http://a.b/1", f'<p class="text-center">short</p><p>{BODY}</p>')], "page_id long, url string, html string")
     assert pagetext.main_text(pages).first()["text"] == f"short\n{BODY}"
+
+
+def test_copies_of_an_unmarked_page_keep_their_text(spark):
+    menu = "home news sport weather travel culture money contact us"
+    body = "a unique passage that only this page and its copies hold from end to end"
+    page = f"<p>{menu}</p><p>{body}</p>"
+    other = f"<p>{menu}</p><p>what another page of this host has to say of other matters altogether</p>"
+    rows = [(1, "http://a.b/1", page), (2, "http://a.b/1?copy", page), (2, "http://a.b/1?copy", page), (3, "http://a.b/3", other), (4, "http://c.d/1", page), (5, "http://c.d/2", page)]
+    out = pagetext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).select("page_id", "text").collect()
+    copies = f"{menu}\n{body}"  # nothing else of that host tells its menu from its text
+    assert Counter(map(tuple, out)) == Counter([(1, body), (2, body), (2, body), (3, other[len(menu) + 10 : -4]), (4, copies), (5, copies)])
+
+
+def test_repeats_inside_a_block_are_cut_out_of_it(spark):
+    note = "this site uses many small files to remember what you like"
+    rows = [(k, f"http://a.b/{k}", f"<p>page {k} begins {note} and goes on with number {k}</p>") for k in range(3)]
+    out = dict(map(tuple, pagetext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect()))
+    assert out == {k: f"page {k} {k}" for k in range(3)}
