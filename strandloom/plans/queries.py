@@ -18,7 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 _BASE = """
-a as (
+a as materialized (
     select l_suppkey as structure_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 as i,
         count(*) over (partition by l_suppkey) as n, l_quantity as x, round(l_discount * 100) as y, round(l_tax * 100) as z, l_returnflag as chain_id, (l_orderkey % 50)::int as res_seq,
         case l_linestatus when 'O' then 'GLY' else 'ALA' end as res_name, l_linenumber as ln, ['CA', 'N', 'O', 'SG', 'H', 'CA', 'K'][l_linenumber] as name,
@@ -30,22 +30,25 @@ a as (
     select structure_id, chain_id, res_seq, res_name, min(i) as first_i, (row_number() over (partition by structure_id order by min(i)) - 1)::int as residue_idx from a group by 1, 2, 3, 4
 ), s as (
     select *, min(i) over (partition by structure_id, chain_id, res_seq, res_name, ln) as site_i, row_number() over (partition by structure_id, chain_id, res_seq, res_name, ln order by occupancy desc, i) as place from a
-), f as (
+), f as materialized (
     select s.*, (row_number() over (partition by structure_id order by site_i) - 1)::int as atom_idx, chain_idx, residue_idx,
         [1.7, 1.55, 1.52, 1.8, 1.2, 2.31, 2.75][ln]::float::double as vdw, [0.76, 0.71, 0.66, 1.05, 0.31, 1.74, 2.03][ln]::float::double as covalent, [6, 7, 8, 16, 1, 20, 19][ln] as code
     from s join c using (structure_id, chain_id) join r using (structure_id, chain_id, res_seq, res_name) where place = 1
 )"""
-_CONECT = """, k as (
+_CONECT = """, k as materialized (
     select p.structure_id, least(p.atom_idx, q.atom_idx) as a, greatest(p.atom_idx, q.atom_idx) as b, case when p.i % 20 = 0 then 2 else 1 end as bond_order
-    from f p join f q on q.structure_id = p.structure_id and q.i = p.i + 1 where p.i % 10 = 0
+    from (select *, i + 1 as next_i from f where i % 10 = 0) p join f q on q.structure_id = p.structure_id and q.i = p.next_i
 )"""
-_HEURISTIC = """, h as (
-    select p.structure_id, p.atom_idx as a, q.atom_idx as b, 1 as bond_order from f p join f q on q.structure_id = p.structure_id and p.atom_idx < q.atom_idx
-    where (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 between 0.4 * 0.4 and (p.covalent + q.covalent + 0.45) * (p.covalent + q.covalent + 0.45)
-        and abs(floor(p.x / 2.5) - floor(q.x / 2.5)) <= 1 and abs(floor(p.y / 2.5) - floor(q.y / 2.5)) <= 1 and abs(floor(p.z / 2.5) - floor(q.z / 2.5)) <= 1
+_HEURISTIC = """, step as (select unnest([-1, 0, 1]) as d), cells as materialized (
+    select structure_id, atom_idx, x::double as x, y::double as y, z::double as z, covalent, floor(x / 2.5)::int as cx, floor(y / 2.5)::int as cy, floor(z / 2.5)::int as cz from f
+), around as materialized (
+    select structure_id, atom_idx, x, y, z, covalent, cx + p.d as cx, cy + q.d as cy, cz + w.d as cz from cells, step p, step q, step w
+), h as materialized (
+    select p.structure_id, p.atom_idx as a, q.atom_idx as b, 1 as bond_order from around p join cells q on q.structure_id = p.structure_id and q.cx = p.cx and q.cy = p.cy and q.cz = p.cz
+    where p.atom_idx < q.atom_idx and (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) between 0.4 * 0.4 and (p.covalent + q.covalent + 0.45) * (p.covalent + q.covalent + 0.45)
 )"""
-_BONDS = _CONECT + _HEURISTIC + """, bonds as (
-    select structure_id, a, b, bond_order from k union all select * from h where not exists (select 1 from k where k.structure_id = h.structure_id and k.a = h.a and k.b = h.b)
+_BONDS = _CONECT + _HEURISTIC + """, bonds as materialized (
+    select structure_id, a, b, bond_order from k union all select h.* from h anti join k using (structure_id, a, b)
 )"""
 _SEGMENTS = """, t as (
     select a.structure_id, chain_id, a.i, residue_idx as end_residue, coalesce(lag(a.i) over (partition by a.structure_id, chain_id order by a.i), -1) as before
