@@ -16,22 +16,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without it and gets a
+    temporary folder; on a cluster that would be another folder on each machine, so it is an error there."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandloom-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to a fresh shared folder and read it back.
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to a fresh shared folder, split by the column ``by`` if one is given, and read it back.
 
     This cuts the lineage, keeps non-deterministic columns fixed, and survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

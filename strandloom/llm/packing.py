@@ -3,20 +3,21 @@
 ``token_pieces`` turns documents into pieces of at most ``capacity`` tokens, ``best_fit`` places pieces in
 sequences, ``packed_sequences`` joins both into finished sequences.
 
-Placement is best-fit by falling length: each piece goes to the sequence with the smallest gap that takes it, and opens
-a new one only if no gap does. Pieces of one length are alike, and so are sequences of one gap; so the choice needs only
-the number of pieces of each length. ``fit_runs`` makes it from these counts (at most ``capacity``), whatever the number
-of pieces, with sequences as ranges of numbers: a range that takes a length keeps less than half its gap, so it is
-taken at most log2(capacity) times, and a length adds at most four ranges. The result is that of placing piece by piece.
-
-Pieces then find their place by their rank among those of their length. Salting splits a length that a third of all
-pieces may share: block counts give the base rank of each (length, salt), a window the rank inside it.
+Placement is bulk-synchronous best-fit. Pieces are taken in bands of falling length. A sweep sorts the waiting pieces of
+a band and the gaps of all sequences by size, distributed, and matches every piece with its successor: the smallest free
+slot that holds it. Conflicts are resolved by rank, gaps are updated, and sweeps repeat until no piece of the band waits.
+Only pieces longer than every gap open new sequences, and never more than they are sure to need; the gaps of these take
+part in the same sweep.
+
+All state lies in tables: pieces, gaps and placements are rows, stored after each sweep. The driver sees only the numbers
+of pieces by length and of sequences by gap. Ranks inside one size are taken in blocks, whose number follows from the
+number of rows, so a length that a third of all pieces share is no task of its own.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,14 +29,22 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CAPACITY = 2048
-SALTS = 32
+#: Lengths of a band differ by this factor at most.
+BAND = 4
+#: Slots that one gap offers in a sweep at most; the next sweep offers more.
+MAX_SLOTS = 64
+#: Rows of one size are ranked in blocks of about this many, in at most MAX_SALTS of them.
+ROWS_PER_SALT, MAX_SALTS = 20_000, 256
 END_ID = 0
 SPECIAL = "<|endoftext|>"
+#: The rank encoder's pattern needs stack for every character of a white-space run; longer runs go to the other library.
+LONG_SPACE = re.compile(r"\s{1000}")
 
 
 @lru_cache(maxsize=2)
 def _encoder(json_path: str, ranks_path: str, pattern: str):
-    """Encode by the rank file; texts with a special token's string go to the tokenizers library itself."""
+    """Encode by the rank file, several times as fast as the tokenizers library and with the same ids; texts that hold a
+    special token's string or a very long run of white space go to that library itself."""
     import base64
 
     import tiktoken
@@ -47,7 +56,7 @@ def _encoder(json_path: str, ranks_path: str, pattern: str):
     whole = Tokenizer.from_file(json_path)
 
     def encode(text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text or LONG_SPACE.search(text):
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -99,77 +108,109 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[st
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tokenise, schema)
 
 
-def fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit of ``counts`` (pieces by length) by falling length, in runs of (length, rank, sequence, each, offset).
-
-    A run starts at the piece with this rank among those of its length (from 0) and deals ``each`` pieces a sequence,
-    from ``sequence`` on, the first at ``offset``; it ends where the next run of the length starts."""
-    runs: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: ranges of sequences (first, number)
-    order: list[int] = []  # the gaps that stand, rising
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((first, n))
-
-    opened = 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(order, length)
-            if at == len(order):
-                new = -(-left // (capacity // length))
-                put(capacity, opened, new)
-                opened += new
-            gap = order[at]
-            each = gap // length
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], order[at]
-            runs.append((length, rank, first, each, capacity - gap))
-            full = min(n, left // each)
-            rest = min(left - full * each, each - 1) if full < n else 0  # pieces of a last sequence that they do not fill
-            put(gap - each * length, first, full)
-            put(gap - rest * length, first + full, 1 if rest else 0)
-            put(gap, first + full + bool(rest), n - full - bool(rest))
-            rank += full * each + rest
-            left -= full * each + rest
-    return runs
+def fewest_sequences(counts: dict[int, int], capacity: int) -> int:
+    """No fewer sequences can hold these pieces (number by length): by their sum, by the pieces over half a sequence, and
+    by how many of the shortest one sequence takes."""
+    if not counts:
+        return 0
+    total, n = sum(k * c for k, c in counts.items()), sum(counts.values())
+    return max(-(-total // capacity), sum(c for k, c in counts.items() if 2 * k > capacity), -(-n // (capacity // min(counts))))
+
+
+def _levels(slots: dict[int, int], pieces: dict[int, int]) -> list[tuple[int, bool, int, int]]:
+    """(size, is_piece, height, salts): the height of the stack of free slots when this size's turn comes.
+
+    Sizes fall; slots of a size come before pieces of it. A slot goes on the stack, a piece takes the top one, which is
+    the smallest slot that holds it; so a piece and its slot meet at one level of the stack."""
+    out, height = [], 0
+    for size in sorted({*slots, *pieces}, reverse=True):
+        for is_piece, counts in ((False, slots), (True, pieces)):
+            if n := counts.get(size, 0):
+                out.append((size, is_piece, height, min(MAX_SALTS, 1 + n // ROWS_PER_SALT)))
+                height = max(0, height - n) if is_piece else height + n
+    return out
+
+
+def _sweep(waiting: DataFrame, gaps: DataFrame, wanted: dict[int, int], free: dict[int, int], capacity: int) -> DataFrame:
+    """One sweep: kind ("placed", "waiting" or "gap"), item_id, length, sequence_id, place.
+
+    ``waiting`` (item_id, length) and ``gaps`` (sequence_id, gap) with their numbers by length and gap. Every gap offers
+    as many slots as average pieces it takes. Slots and pieces are ranked by size and meet by levels; where the pieces
+    that a sequence meets do not all fit, the longest stay and the others wait for the next sweep."""
+    longest, mean = max(wanted), -(-sum(k * c for k, c in wanted.items()) // sum(wanted.values()))
+    offer = lambda g: min(MAX_SLOTS, max(1, g // mean))
+    size_of = lambda g: g if offer(g) == 1 else max(g // offer(g), min(g, longest))
+    slots: dict[int, int] = {}
+    for g, n in free.items():
+        if g >= min(wanted):
+            slots[size_of(g)] = slots.get(size_of(g), 0) + n * offer(g)
+    spark = waiting.sparkSession
+    heights = F.broadcast(spark.createDataFrame(_levels(slots, wanted), "size int, is_piece boolean, height long, salts int"))  # at most 2 x capacity rows
+
+    gap = F.col("gap")
+    n = F.least(F.lit(MAX_SLOTS), F.greatest(F.lit(1), F.floor(gap / mean))).cast("int")
+    size = F.when(n == 1, gap).otherwise(F.greatest(F.floor(gap / n), F.least(gap, F.lit(longest)))).cast("int")
+    offered = gaps.filter(gap >= min(wanted)).select(F.col("sequence_id").alias("id"), "gap", size.alias("size"), F.lit(False).alias("is_piece"), F.explode(F.sequence(F.lit(0), n - 1)).alias("turn"))
+    asking = waiting.select(F.col("item_id").alias("id"), F.lit(0).alias("gap"), F.col("length").alias("size"), F.lit(True).alias("is_piece"), F.lit(0).alias("turn"))
+    events = offered.unionByName(asking).join(heights, ["size", "is_piece"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    # rank inside a size: the rank in its block (turn, salt) after the rows of the blocks before
+    block = ["size", "is_piece", "turn", "salt"]
+    counts = events.groupBy(*block).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("size", "is_piece").orderBy("turn", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = F.broadcast(counts.select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))  # at most capacity x (MAX_SLOTS + 1) x salts
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy("id"))
+    ranked = events.withColumn("inside", rank).join(bases, block)
+    level = F.col("height") + F.when(F.col("is_piece"), 1 - F.col("base") - F.col("inside")).otherwise(F.col("base") + F.col("inside"))
+    # a level holds slots and pieces in turn, at most one of each a size; pieces at or below zero met no slot
+    ranked = ranked.select("id", "gap", "size", "is_piece", F.when(level > 0, level).otherwise(-F.col("id") - 1).alias("level"))
+    above = F.lag(F.when(~F.col("is_piece"), F.struct("id", "gap"))).over(Window.partitionBy("level").orderBy(F.desc("size"), "is_piece"))
+    met = ranked.withColumn("slot", above).filter("is_piece").select(F.col("id").alias("item_id"), F.col("size").alias("length"), F.col("slot.id").alias("sequence_id"), F.lit(None).cast("int").alias("gap"))
+
+    # a sequence's row comes first, then its pieces, longest first
+    mine = Window.partitionBy(F.coalesce("sequence_id", -F.col("item_id") - 1))
+    both = met.unionByName(gaps.select(F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("length"), "sequence_id", "gap"))
+    ordered = mine.orderBy(F.col("gap").isNull(), F.desc("length"), "item_id")
+    both = both.withColumn("room", F.max("gap").over(mine)).withColumn("end", F.sum("length").over(ordered)).withColumn("fits", F.col("end") <= F.col("room"))
+    both = both.withColumn("used", F.max(F.when(F.col("fits"), F.col("end"))).over(mine))
+    kind = F.when(F.col("gap").isNotNull(), "gap").when(F.col("fits"), "placed").otherwise("waiting")
+    place = F.when(kind == "gap", F.col("gap") - F.col("used")).when(kind == "placed", capacity - F.col("room") + F.col("end") - F.col("length"))
+    return both.select("item_id", "length", "sequence_id", place.cast("int").alias("place"), kind.alias("kind"))
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Place ``items`` (item_id: distinct long, length: 1 to capacity) in sequences: item_id, sequence_id, offset.
-
-    Each sequence is gapless from offset 0; no item is ever left out. No items give no rows. ``items`` is read twice
-    and must give the same rows both times."""
-    salt = F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int")
-    rows = items.select("item_id", F.col("length").cast("long").alias("length"), salt.alias("salt"))
-    blocks = sorted(map(tuple, rows.groupBy("length", "salt").agg(F.count("*")).collect()))  # at most capacity x salts
-    base = np.zeros((capacity + 1) * SALTS, np.int64)
-    counts: dict[int, int] = {}
-    for length, k, n in blocks:
-        base[length * SALTS + k] = counts.get(length, 0)
-        counts[length] = counts.get(length, 0) + n
-    runs = np.array(sorted(fit_runs(counts, capacity)), np.int64).reshape(-1, 5)
-    sent = items.sparkSession.sparkContext.broadcast((base, runs))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, runs = sent.value
-        starts = (runs[:, 0] << 48) + runs[:, 1]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            length, k, inside = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
-            rank = base[length * SALTS + k] + inside - 1
-            run = runs[np.searchsorted(starts, (length << 48) + rank, "right") - 1]
-            nth, turn = np.divmod(rank - run[:, 1], run[:, 3])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(run[:, 2] + nth), pa.array(run[:, 4] + turn * length)], ["item_id", "sequence_id", "offset"])
-
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("item_id")))
-    return ranked.mapInArrow(place, "item_id long, sequence_id long, offset long")
+    """Place ``items`` (item_id: distinct long from 0, length: 1 to capacity) in sequences: item_id, sequence_id, offset.
+
+    Each sequence is gapless from offset 0; no item is ever left out. No items give no rows. ``items`` is read once for
+    each band of lengths and must give the same rows every time."""
+    spark = items.sparkSession
+    rows = items.select("item_id", F.col("length").cast("int").alias("length"))
+    lengths = dict(map(tuple, rows.groupBy("length").count().collect()))  # at most capacity rows
+    nothing = spark.createDataFrame([], "sequence_id long, gap int")
+    gaps, free, opened, folders = nothing, {}, 0, []
+    high = capacity
+    while high:
+        low = high // BAND
+        wanted = {k: n for k, n in lengths.items() if low < k <= high}
+        waiting = rows.filter((F.col("length") > low) & (F.col("length") <= high))
+        while wanted:
+            new = fewest_sequences({k: n for k, n in wanted.items() if k > max(free, default=0)}, capacity)  # no gap takes these
+            if new:
+                gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).alias("gap")))
+                free[capacity] = free.get(capacity, 0) + new
+                opened += new
+            swept = stored(_sweep(waiting, gaps, wanted, free, capacity), "sweep", by="kind")
+            folders += swept.inputFiles()[:1]
+            waiting = swept.filter("kind = 'waiting'").select("item_id", "length")
+            gaps = swept.filter("kind = 'gap' and place > 0").select("sequence_id", F.col("place").alias("gap"))
+            key = F.when(F.col("kind") == "gap", F.col("place")).otherwise(F.col("length"))
+            left = swept.filter("kind = 'waiting' or kind = 'gap' and place > 0").groupBy("kind", key.alias("key")).count().collect()  # at most 2 x capacity rows
+            wanted = {r["key"]: r["count"] for r in left if r["kind"] == "waiting"}
+            free = {r["key"]: r["count"] for r in left if r["kind"] == "gap"}
+        high = low
+    if not folders:
+        return spark.createDataFrame([], "item_id long, sequence_id long, offset long")
+    placed = [f.rsplit("/kind=", 1)[0] + "/kind=placed" for f in folders]
+    return spark.read.schema("item_id long, length int, sequence_id long, place int").parquet(*placed).select("item_id", "sequence_id", F.col("place").cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str, str] | None = None, with_ids: bool = True) -> DataFrame:
