@@ -1,10 +1,12 @@
 """Legacy archive converter: ARC files of version 1 and 2 to WARC, and readers for both.
 
-Archives are gzip files of UTF-8 text written and read by Spark's own text and binaryFile sources, so they may lie in
-any store that Spark reaches. An ARC record is parsed by the header line of its file's version and by its declared
-length; its WARC twin gets an identifier derived from its contents (so a repeated task writes the same one), a date
-from the 14-digit timestamp, a type, and SHA-1 digests. Records whose payload equals that of an earlier page are
-written as revisit records without their payload.
+Archives hold one gzip member a record and a bounded number of records a file; contents are bytes from end to end. They
+are read by Spark's binaryFile source and written by its text source, which passes the bytes of a string on as they
+are, so they may lie in any store that Spark reaches. An ARC record is parsed by the header line of its file's version
+and by its declared length; its WARC twin gets an identifier derived from its contents (so a repeated task writes the
+same one), a date from the 14-digit timestamp, a type, and SHA-1 digests: HTTP answers become response records, name
+lookups and other schemes resource records, the file's description its warcinfo. Responses whose payload equals that of
+an earlier page are written as revisit records without their payload.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ _TITLES = {
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_END = "\r\n\r\n"
+_BLANK = re.compile(rb"\r?\n\r?\n")
+#: A task reads a compressed file whole, so files stay small.
+RECORDS_PER_FILE = 10_000
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -63,42 +67,79 @@ def _http(page_id, n: int) -> str:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n{page}\r\n"
 
 
-def write_arc(pages: DataFrame, path: str, captured: str = CAPTURED) -> None:
-    """Write pages (page_id, url, html) as legacy ARC files, one a task, of version 1 and 2 in turn. Null html is empty."""
+def _member(record: bytes) -> bytes:
+    """The record as a gzip member, less the zero byte it ends with, which the text source adds as its line end.
+
+    A member ends with the record's length, so its last byte is zero below 16 MB; longer ones are followed by an empty member."""
+    out = gzip.compress(record, 6, mtime=0)
+    if out[-1]:
+        out += gzip.compress(b"", 6, mtime=0)
+    return out[:-1]
+
+
+def _write_members(records: DataFrame, path: str, records_per_file: int) -> None:
+    """``records``: one binary column of ``_member`` rows."""
+    spark = records.sparkSession
+    check = "spark.sql.castBinaryToString.validateUtf8"
+    before = spark.conf.get(check, None)
+    spark.conf.set(check, "false")  # bytes pass as they are
+    try:
+        lines = records.select(F.col(records.columns[0]).cast("string"))
+        lines.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    finally:
+        if before is None:
+            spark.conf.unset(check)
+        else:
+            spark.conf.set(check, before)
+
+
+def write_arc(pages: DataFrame, path: str, captured: str = CAPTURED, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Write pages (page_id, url, html) as legacy ARC files of version 1 and 2 in turn by task. Null html is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        version = None
+        written = 0
         for batch in batches:
             out = []
             for part, page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if version is None:
-                    version = str(1 + part % 2)
-                    out.append(arc_head(version, captured))
-                html = html or ""
-                size = len(html.encode())
-                head = _http(page_id, size)
-                out.append(f"{arc_line(version, _word(url), 'text/html', len(head) + size, captured)}\n{head}{html}")
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                version = str(1 + part % 2)
+                if written % records_per_file == 0:  # the next file begins
+                    out.append(_member(arc_head(version, captured).encode()))
+                    written += 1
+                payload = (html or "").encode()
+                head = _http(page_id, len(payload)).encode()
+                line = arc_line(version, _word(url), "text/html", len(head) + len(payload), captured)
+                out.append(_member(line.encode() + b"\n" + head + payload + b"\n"))
+                written += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     rows = pages.select(F.spark_partition_id().alias("part"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows.mapInArrow(run, "value string").write.option("compression", "gzip").text(path)
+    _write_members(rows.mapInArrow(run, "value binary"), path, records_per_file)
 
 
 def read_arc(data: bytes) -> Iterator[dict]:
-    """Records of one ARC file: the fields of its version's header line, and content. The file may be gzipped."""
+    """Records of one ARC file: the fields of its version's header line, and content. The file may be gzipped.
+
+    A URL may hold blanks, so the other fields are counted from the end of the line."""
     source = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     fields = None
     while line := source.readline():
         if not line.strip():
             continue
-        parts = line.decode().rstrip("\r\n").split(" ")
-        content = source.read(int(parts[-1]))
-        if parts[0].startswith("filedesc://"):
+        text = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
+        length = text.rsplit(" ", 1)[-1]
+        if not length.isdigit():
+            raise ValueError(f"not a header line of an ARC file: {line[:200]!r}")
+        content = source.read(int(length))
+        if len(content) < int(length):
+            raise ValueError(f"the ARC file ends inside a record: {line[:200]!r}")
+        if text.startswith("filedesc://"):
             fields = FIELDS[content.split(b" ", 1)[0].decode()]
-        elif fields is None or len(parts) != len(fields):
+            continue
+        parts = text.rsplit(" ", len(fields) - 1) if fields else []
+        if not fields or len(parts) != len(fields):
             raise ValueError(f"not a header line of this ARC file: {line[:200]!r}")
-        else:
-            yield dict(zip(fields, parts, strict=True)) | {"content": content}
+        parts[0] = parts[0].encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        yield dict(zip(fields, parts, strict=True)) | {"content": content}
 
 
 def warc_date(stamp: str) -> str:
@@ -108,8 +149,18 @@ def warc_date(stamp: str) -> str:
 
 
 def _split_http(content: bytes) -> tuple[bytes, bytes]:
-    head, mark, payload = content.partition(b"\r\n\r\n")
-    return head + mark, payload
+    """Head with the blank line that ends it, and payload; lines may end in LF alone."""
+    end = _BLANK.search(content)
+    return (content[: end.end()], content[end.end() :]) if end else (content, b"")
+
+
+def warc_kind(content: bytes) -> str:
+    """response for an HTTP answer, else resource (name lookups, files of other schemes)."""
+    return "response" if content.startswith(b"HTTP/") else "resource"
+
+
+def _parts(kind: str, content: bytes) -> tuple[bytes, bytes]:
+    return _split_http(content) if kind == "response" else (b"", content)
 
 
 def _header(head: bytes, name: str) -> str | None:
@@ -121,10 +172,14 @@ def record_id(url: str, date: str, digest: str, page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {page_id}')}>"
 
 
+_INDEX = [("file", pa.string()), ("n", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("type", pa.string()), ("date", pa.string()), ("size", pa.int64()), ("digest", pa.string())]
+
+
 def arc_records(spark: SparkSession, path: str, with_content: bool) -> DataFrame:
-    """file, n (ordinal in the file), page_id, url, date, size, digest and, if asked, content of all ARC records."""
-    schema = "file string, n long, page_id long, url string, date string, size long, digest string" + ", content string" * with_content
-    kinds = [("file", pa.string()), ("n", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("size", pa.int64()), ("digest", pa.string())] + [("content", pa.string())] * with_content
+    """file, n (ordinal in the file), kind (of the WARC twin), page_id, url, ip, type, date, size, digest and, if asked,
+    content (bytes) of all ARC records. Records of pages that were not written here have a null page_id."""
+    kinds = _INDEX + [("content", pa.binary())] * with_content
+    schema = "file string, n long, kind string, page_id long, url string, ip string, type string, date string, size long, digest string" + ", content binary" * with_content
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
@@ -134,9 +189,10 @@ def arc_records(spark: SparkSession, path: str, with_content: bool) -> DataFrame
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, held = [], 0
                 for n, r in enumerate(read_arc(data.as_py())):
-                    head, payload = _split_http(r["content"])
+                    kind = warc_kind(r["content"])
+                    head, payload = _parts(kind, r["content"])
                     page = _header(head, "X-Page-Id")
-                    rows.append((file, n, None if page is None else int(page), r["url"], warc_date(r["date"]), len(payload), sha1_base32(payload), *([r["content"].decode()] if with_content else [])))
+                    rows.append((file, n, kind, int(page) if page and re.fullmatch(r"-?\d{1,18}", page) else None, r["url"], r["ip"], r["type"], warc_date(r["date"]), len(payload), sha1_base32(payload), *([r["content"]] if with_content else [])))
                     held += len(payload)
                     if held > 4 << 20:
                         yield flush(rows)
@@ -147,15 +203,16 @@ def arc_records(spark: SparkSession, path: str, with_content: bool) -> DataFrame
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: int = 0) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write a WARC record for each ARC record under ``arc_path``.
 
-    Of records with equal payloads of at least ``revisit_from`` bytes, the one with the smallest page_id (nulls last,
+    Of responses with equal payloads of at least ``revisit_from`` bytes, the one with the smallest page_id (nulls last,
     then by file and place) is a response and the others revisit it."""
     index = stored(arc_records(spark, arc_path, False), "arc-index")
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "n", "url", "date")
-    first = index.filter(F.col("size") >= revisit_from).groupBy("digest", "size").agg(F.min(place).alias("f"), F.count("*").alias("copies")).filter("copies > 1")
-    again = index.join(first, ["digest", "size"]).filter(~((F.col("file") == F.col("f.file")) & (F.col("n") == F.col("f.n"))))
+    responses = index.filter((F.col("kind") == "response") & (F.col("size") >= revisit_from))
+    first = responses.groupBy("digest", "size").agg(F.min(place).alias("f"), F.count("*").alias("copies")).filter("copies > 1")
+    again = responses.join(first, ["digest", "size"]).filter(~((F.col("file") == F.col("f.file")) & (F.col("n") == F.col("f.n"))))
     again = again.select("file", "n", F.col("f.page_id").alias("to_page"), F.col("f.url").alias("to_url"), F.col("f.date").alias("to_date"), F.lit(True).alias("revisit"))
     again = stored(again, "revisits")
     # a short list of revisits goes to every task; a longer one is met by a shuffle of the records
@@ -163,34 +220,36 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
     records = arc_records(spark, arc_path, True).join(again, ["file", "n"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started = False
+        written = 0
         for batch in batches:
             out = []
-            if not started:
-                started = True
-                info = "software: strandloom\r\nformat: WARC File Format 1.1\r\n"
-                out.append(_record("warcinfo", [("WARC-Record-ID", record_id("warcinfo", "", "", "")), ("WARC-Date", warc_date(CAPTURED)), ("Content-Type", "application/warc-fields")], info, len(info)))
             for r in batch.to_pylist():
-                head, payload = _split_http(r["content"].encode())
-                fields = [("WARC-Record-ID", record_id(r["url"], r["date"], r["digest"], r["page_id"])), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["url"]), ("WARC-Payload-Digest", f"sha1:{r['digest']}"), ("Content-Type", "application/http; msgtype=response")]
+                if written % records_per_file == 0:  # the next file begins
+                    info = b"software: strandloom\r\nformat: WARC File Format 1.1\r\n"
+                    out.append(_record("warcinfo", [("WARC-Record-ID", record_id("warcinfo", r["file"], str(r["n"]), "")), ("WARC-Date", r["date"]), ("Content-Type", "application/warc-fields")], info))
+                    written += 1
+                head, payload = _parts(r["kind"], r["content"])
+                content_type = "application/http; msgtype=response" if r["kind"] == "response" else r["type"]
+                fields = [("WARC-Record-ID", record_id(r["url"], r["date"], r["digest"], r["page_id"])), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["url"]), ("WARC-Payload-Digest", f"sha1:{r['digest']}"), ("Content-Type", content_type)]
+                if r["ip"] not in ("-", "", "0.0.0.0"):
+                    fields.append(("WARC-IP-Address", r["ip"]))
                 if r["revisit"]:
                     fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(r["to_url"], r["to_date"], r["digest"], r["to_page"])), ("WARC-Refers-To-Target-URI", r["to_url"]), ("WARC-Refers-To-Date", r["to_date"])]
                     if r["to_page"] is not None:
                         fields.append(("X-Refers-To-Page-Id", str(r["to_page"])))
-                    block = head
-                else:
-                    block = head + payload
-                fields.append(("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"))
-                out.append(_record("revisit" if r["revisit"] else "response", fields, block.decode(), len(block)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                    # the answer's own head may declare another length than it had, or none
+                    fields.append(("X-Payload-Length", str(r["size"])))
+                out.append(_record("revisit" if r["revisit"] else r["kind"], fields, head if r["revisit"] else head + payload))
+                written += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    records.mapInArrow(run, "value string").write.option("compression", "gzip").option("lineSep", _END).text(warc_path)
+    _write_members(records.mapInArrow(run, "value binary"), warc_path, records_per_file)
 
 
-def _record(kind: str, fields: list[tuple[str, str]], block: str, length: int) -> str:
-    """One record without the two line ends that close it; the text source adds them."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {length}"]
-    return "\r\n".join(lines) + "\r\n\r\n" + block
+def _record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """One record as a member."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields), f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Length: {len(block)}"]
+    return _member("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -205,32 +264,43 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := source.readline().rstrip(b"\r\n")):
             name, _, value = line.decode().partition(":")
             headers[name.lower()] = value.strip()
-        yield headers, source.read(int(headers["content-length"]))
+        block = source.read(int(headers["content-length"]))
+        if len(block) < int(headers["content-length"]):
+            raise ValueError(f"the WARC file ends inside a record: {headers}")
+        yield headers, block
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Response and revisit records under ``path``: record_type, record_id, page_id, url, date, payload_bytes,
-    payload_digest, refers_to_id, refers_to, verified (digests and lengths agree with the block), payload if asked."""
-    kinds = [("record_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()), ("refers_to", pa.int64()), ("verified", pa.bool_())] + [("payload", pa.binary())] * with_payload
-    schema = "record_type string, record_id string, page_id long, url string, date string, payload_bytes long, payload_digest string, refers_to_id string, refers_to long, verified boolean" + ", payload binary" * with_payload
+    """Response, revisit and resource records under ``path``: record_type, record_id, page_id, url, date, payload_bytes,
+    payload_digest, refers_to_id, refers_to, payload if asked. A record whose digests or lengths do not agree with its
+    block is an error."""
+    kinds = [("record_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload
+    schema = "record_type string, record_id string, page_id long, url string, date string, payload_bytes long, payload_digest string, refers_to_id string, refers_to long" + ", payload binary" * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
+
         for batch in batches:
             for data in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for h, block in parse_warc(data.as_py()):
-                    if h["warc-type"] not in ("response", "revisit"):
+                    kind = h["warc-type"]
+                    if kind not in ("response", "revisit", "resource"):
                         continue
-                    head, payload = _split_http(block)
+                    head, payload = _parts("resource" if kind == "resource" else "response", block)
                     page, to = _header(head, "X-Page-Id"), h.get("x-refers-to-page-id")
-                    digest, size = h["warc-payload-digest"].removeprefix("sha1:"), int(_header(head, "Content-Length"))
-                    good = h["warc-block-digest"] == f"sha1:{sha1_base32(block)}" and (h["warc-type"] == "revisit" or (len(payload) == size and sha1_base32(payload) == digest))
-                    rows.append((h["warc-type"], h["warc-record-id"], None if page is None else int(page), h["warc-target-uri"], h["warc-date"], size, digest, h.get("warc-refers-to"), None if to is None else int(to), good, *([payload] if with_payload else [])))
-                    if len(rows) >= (64 if with_payload else 5000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
-                        rows = []
+                    digest = h["warc-payload-digest"].removeprefix("sha1:")
+                    size = int(h["x-payload-length"]) if kind == "revisit" else len(payload)
+                    if h["warc-block-digest"] != f"sha1:{sha1_base32(block)}" or kind != "revisit" and sha1_base32(payload) != digest or kind == "revisit" and payload:
+                        raise ValueError(f"the record does not agree with its digests: {h}")
+                    rows.append((kind, h["warc-record-id"], int(page) if page and re.fullmatch(r"-?\d{1,18}", page) else None, h["warc-target-uri"], h["warc-date"], size, digest, h.get("warc-refers-to"), None if to is None else int(to), *([payload] if with_payload else [])))
+                    held += len(payload) if with_payload else 200
+                    if held > 4 << 20:
+                        yield flush(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
+                    yield flush(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 

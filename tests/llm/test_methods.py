@@ -58,13 +58,67 @@ def test_arc_versions_round_trip(spark, tmp_path):
     warc.write_arc(pages, f"{tmp_path}/arc", "20240305060708")
     warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
     rows = warc.read_warc(spark, f"{tmp_path}/warc", with_payload=True).collect()
-    assert len(rows) == 30 and all(r["verified"] and r["date"] == "2024-03-05T06:07:08Z" for r in rows)
+    assert len(rows) == 30 and all(r["date"] == "2024-03-05T06:07:08Z" for r in rows)
     assert {r["page_id"]: bytes(r["payload"]) for r in rows if r["record_type"] == "response"} == {k: f"<p>\r\n\r\nWARC/1.1 {k % 3} é</p>\n".encode() for k in range(3)}
     assert {r["page_id"]: r["refers_to"] for r in rows if r["record_type"] == "revisit"} == {k: k % 3 for k in range(3, 30)}
     ids = {r["page_id"]: r["record_id"] for r in rows}
     assert all(r["refers_to_id"] == ids[r["refers_to"]] for r in rows if r["record_type"] == "revisit") and len(set(ids.values())) == 30
 
 
+DNS = b"20240102030405\na.example. 300 IN A 192.0.2.1\n"
+IMAGE = bytes(range(256)) * 3
+LATIN = b"HTTP/1.0 200 OK\nContent-Type: text/html; charset=iso-8859-1\n\n<p>caf\xe9 \r\n\r\n fin</p>"
+BINARY = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\nContent-Length: 5\r\n\r\n" + IMAGE
+
+
+def legacy_archive(version):
+    """An ARC file written out by hand, one field list a version."""
+    middle = b"" if version == 1 else b" 200 CHECKSUM - 1234 name.arc.gz"
+    about = b"1 0 InternetArchive\nURL IP-address Archive-date Content-type Archive-length\n" if version == 1 else b"2 0 InternetArchive\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    out = [b"filedesc://old.arc 0.0.0.0 19990102030405 text/plain" + middle + b" %d\n" % len(about) + about]
+    for url, kind, content in ((b"dns:a.example", b"text/dns", DNS), (b"http://a.example/caf\xc3\xa9 x", b"text/html", LATIN), (b"http://a.example/i.png", b"image/png", BINARY), (b"http://b.example/i.png", b"image/png", BINARY), (b"ftp://a.example/f", b"no-type", b"")):
+        out.append(url + b" 192.0.2.7 1999010203" + b" " + kind + middle + b" %d\n" % len(content) + content)
+    return out
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("zipped", [False, True])
+def test_foreign_archives_are_converted(spark, tmp_path, version, zipped):
+    import gzip
+
+    records = legacy_archive(version)
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc").write_bytes(b"".join(gzip.compress(r + b"\n") for r in records) if zipped else b"\n".join(records) + b"\n")
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", records_per_file=3)
+    rows = {r["url"]: r for r in warc.read_warc(spark, f"{tmp_path}/warc", with_payload=True).collect()}
+    assert {u: (r["record_type"], bytes(r["payload"])) for u, r in rows.items()} == {
+        "dns:a.example": ("resource", DNS), "http://a.example/café x": ("response", b"<p>caf\xe9 \r\n\r\n fin</p>"), "http://a.example/i.png": ("response", IMAGE), "http://b.example/i.png": ("revisit", b""), "ftp://a.example/f": ("resource", b""),
+    }
+    assert all(r["date"] == "1999-01-02T03:00:00Z" and r["page_id"] is None for r in rows.values())
+    assert rows["http://b.example/i.png"]["refers_to_id"] == rows["http://a.example/i.png"]["record_id"]
+    assert rows["http://b.example/i.png"]["payload_bytes"] == len(IMAGE)
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) == 3  # 5 records and the warcinfo of each file, at most 3 a file
+    for f in files:
+        kinds = [h["warc-type"] for h, _ in warc.parse_warc(f.read_bytes())]
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:] and f.read_bytes().count(b"\x1f\x8b\x08") >= len(kinds)
+
+
+def test_damaged_records_are_errors(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a.b/1", "<p>one</p>")], "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(pages, f"{tmp_path}/arc")
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    whole = gzip.decompress(next((tmp_path / "warc").glob("part-*")).read_bytes())
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x").write_bytes(whole.replace(b"<p>one", b"<p>two"))
+    with pytest.raises(Exception, match="does not agree"):
+        warc.read_warc(spark, f"{tmp_path}/bad").collect()
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.parse_warc(whole[:-20]))
+
+
 def test_arc_header_line_must_fit_its_version():
     good = warc.arc_head("1", "20000101000000") + warc.arc_line("1", "http://a", "text/html", 2, "2000") + "\nhi"
     assert [r["content"] for r in warc.read_arc(good.encode())] == [b"hi"] and warc.warc_date("2000") == "2000-01-01T00:00:00Z"
