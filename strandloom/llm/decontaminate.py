@@ -5,7 +5,8 @@ windows scans the normalised text of a document once; matches are carried back t
 original text. Normalised text is its words in lower case (A-Z only), each between single spaces.
 
 The automaton holds at most ``max_windows`` windows. A larger benchmark is scanned block by block, each with its own
-automaton of that bound, and the blocks' findings are joined by document row, so no window is left out.
+automaton of that bound; a block's findings are stored and its automaton is released before the next one's turn, and
+findings are joined by document row, so no window is left out and memory does not grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW, stored
@@ -98,9 +100,12 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("words", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _scan(docs: DataFrame, block: list, with_row: bool) -> DataFrame:
+def _send(spark: SparkSession, block: list) -> Broadcast:
+    return spark.sparkContext.broadcast((tuple((r["words"], r["length"]) for r in block), [tuple(r["items"]) for r in block]))
+
+
+def _scan(docs: DataFrame, sent: Broadcast, with_row: bool) -> DataFrame:
     """Scan all texts with one automaton: n_words, spans of hit words, their offsets in the text, items."""
-    sent = docs.sparkSession.sparkContext.broadcast((tuple((r["words"], r["length"]) for r in block), [tuple(r["items"]) for r in block]))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     span, text_span = pa.struct([("first", pa.int32()), ("last", pa.int32())]), pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 
@@ -155,25 +160,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     found = stored(windows_of(benchmark, window), "windows")
     n = found.count()
     if n <= max_windows:
-        return _scan(docs, found.orderBy("words").collect(), False)
+        return _scan(docs, _send(docs.sparkSession, found.orderBy("words").collect()), False)
     docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    whole = None
+    parts = []
     for block in _blocks(found, n, max_windows):
-        part = _scan(docs, block, True)
-        whole = part if whole is None else whole.unionByName(part)
-    each = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("where")).alias("where"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return each.select("doc_id", "n_words", _merge("hit", "first", "last").alias("hit"), _merge("where", "begin", "end").alias("where"), "items")
-
-
-def _by_hit(docs: DataFrame, block: list, hit: bool) -> DataFrame:
-    """Rows of ``docs`` with or without a window of ``block``."""
-    sent = docs.sparkSession.sparkContext.broadcast(tuple((r["words"], r["length"]) for r in block))
+        sent = _send(docs.sparkSession, block)
+        parts.append(stored(_scan(docs, sent, True).filter(F.size("hit") > 0).select("row", "hit", "where", "items"), "findings"))
+        sent.unpersist()
+    whole = reduce(DataFrame.unionByName, parts)
+    each = whole.groupBy("row").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("where")).alias("where"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    each = each.select("row", _merge("hit", "first", "last").alias("hit"), _merge("where", "begin", "end").alias("where"), "items")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD.pattern)), F.lit(0)).cast("long").alias("n_words")
+    none = {"hit": "array<struct<first:int,last:int>>", "where": "array<struct<begin:int,end:int>>", "items": "array<string>"}
+    met = docs.select("doc_id", "row", n_words).join(each, "row", "left")
+    return met.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()])
+
+
+def _by_hit(docs: DataFrame, sent: Broadcast, hit: bool) -> DataFrame:
+    """Rows of ``docs`` with or without a window of the block sent."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent.value)
+        windows = sent.value[0]
+        automaton = _automaton(windows)
         for batch in batches:
-            found = [bool(_spans(norm_words(t), automaton, len(sent.value))[1]) == hit for t in batch.column(at).to_pylist()]
+            found = [bool(_spans(norm_words(t), automaton, len(windows))[1]) == hit for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(found, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -186,12 +197,14 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     found = stored(windows_of(benchmark, window), "windows")
     n = found.count()
     if n <= max_windows:
-        return _by_hit(docs, found.orderBy("words").collect(), False)
+        return _by_hit(docs, _send(docs.sparkSession, found.orderBy("words").collect()), False)
     rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    whole = None
+    parts = []
     for block in _blocks(found, n, max_windows):
-        part = _by_hit(rows.select(ROW, "text"), block, True).select(ROW)
-        whole = part if whole is None else whole.unionByName(part)
+        sent = _send(docs.sparkSession, block)
+        parts.append(stored(_by_hit(rows.select(ROW, "text"), sent, True).select(ROW), "findings"))
+        sent.unpersist()
+    whole = reduce(DataFrame.unionByName, parts)
     return rows.join(whole.distinct().hint("shuffle_hash"), ROW, "left_anti").select(*docs.columns)
 
 
