@@ -6,8 +6,8 @@ sequences, ``packed_sequences`` joins both into finished sequences.
 Placement is bulk-synchronous best-fit. Pieces are taken in bands of falling length. A sweep sorts the waiting pieces of
 a band and the gaps of all sequences by size, distributed, and matches every piece with its successor: the smallest free
 slot that holds it. Conflicts are resolved by rank, gaps are updated, and sweeps repeat until no piece of the band waits.
-Only pieces longer than every gap open new sequences, and never more than they are sure to need; the gaps of these take
-part in the same sweep.
+New sequences are opened for pieces longer than every gap and for what exceeds all gaps together, and never more than
+these are sure to need; the gaps of new ones take part in the same sweep.
 
 All state lies in tables: pieces, gaps and placements are rows, stored after each sweep. The driver sees only the numbers
 of pieces by length and of sequences by gap. Ranks inside one size are taken in blocks, whose number follows from the
@@ -31,6 +31,8 @@ from .common import stored
 CAPACITY = 2048
 #: Lengths of a band differ by this factor at most.
 BAND = 4
+#: Pieces of a band that still wait go on to the next one when they are no more than this share of all shorter pieces.
+LEFT_SHARE = 0.1
 #: Slots that one gap offers in a sweep at most; the next sweep offers more.
 MAX_SLOTS = 64
 #: Rows of one size are ranked in blocks of about this many, in at most MAX_SALTS of them.
@@ -117,54 +119,81 @@ def fewest_sequences(counts: dict[int, int], capacity: int) -> int:
     return max(-(-total // capacity), sum(c for k, c in counts.items() if 2 * k > capacity), -(-n // (capacity // min(counts))))
 
 
-def _levels(slots: dict[int, int], pieces: dict[int, int]) -> list[tuple[int, bool, int, int]]:
-    """(size, is_piece, height, salts): the height of the stack of free slots when this size's turn comes.
+Sizes = dict[int, list[int]]  # number of rows by size and block; one block for most sizes
 
-    Sizes fall; slots of a size come before pieces of it. A slot goes on the stack, a piece takes the top one, which is
+
+def _salts(n: int) -> int:
+    return min(MAX_SALTS, 1 + n // ROWS_PER_SALT)
+
+
+def _tally(rows: DataFrame, size: str, key: str, counts: dict[int, int]) -> Sizes:
+    """``counts`` (rows by size), by block where a size has many rows."""
+    out: Sizes = {k: [n] for k, n in counts.items()}
+    if large := {k: _salts(n) for k, n in counts.items() if _salts(n) > 1}:
+        of = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[F.col(size)]
+        for k, salt, n in rows.filter(F.col(size).isin(*large)).groupBy(size, F.pmod(F.xxhash64(key), of).cast("int").alias("salt")).count().collect():
+            if len(out[k]) != large[k]:
+                out[k] = [0] * large[k]
+            out[k][salt] = n
+    return out
+
+
+def _levels(offered: list[tuple[int, int, int, int]], asking: Sizes) -> list[tuple[int, bool, int, int, int, int]]:
+    """(size, is_piece, of, turn, salt, base): the height of the stack of free slots before each block of slots or pieces.
+
+    ``offered`` holds (size, gap, turn, blocks...) of slots. Sizes fall; slots of a size come before pieces of it, turn by
+    turn, so that long and short pieces mix in a sequence. A slot goes on the stack, a piece takes the top one, which is
     the smallest slot that holds it; so a piece and its slot meet at one level of the stack."""
     out, height = [], 0
-    for size in sorted({*slots, *pieces}, reverse=True):
-        for is_piece, counts in ((False, slots), (True, pieces)):
-            if n := counts.get(size, 0):
-                out.append((size, is_piece, height, min(MAX_SALTS, 1 + n // ROWS_PER_SALT)))
-                height = max(0, height - n) if is_piece else height + n
+    slots: dict[int, list] = {}
+    for size, gap, turn, blocks in offered:
+        slots.setdefault(size, []).append((turn, gap, blocks))
+    for size in sorted({*slots, *asking}, reverse=True):
+        for turn, gap, blocks in sorted(slots.get(size, ())):
+            for salt, n in enumerate(blocks):
+                out.append((gap, False, turn, salt, len(blocks), height))
+                height += n
+        at = height
+        for salt, n in enumerate(asking.get(size, ())):
+            out.append((size, True, 0, salt, len(asking[size]), at))
+            at -= n
+        height = max(0, at)
     return out
 
 
-def _sweep(waiting: DataFrame, gaps: DataFrame, wanted: dict[int, int], free: dict[int, int], capacity: int) -> DataFrame:
+def _sweep(waiting: DataFrame, gaps: DataFrame, wanted: Sizes, free: Sizes, capacity: int) -> DataFrame:
     """One sweep: kind ("placed", "waiting" or "gap"), item_id, length, sequence_id, place.
 
     ``waiting`` (item_id, length) and ``gaps`` (sequence_id, gap) with their numbers by length and gap. Every gap offers
     as many slots as average pieces it takes. Slots and pieces are ranked by size and meet by levels; where the pieces
     that a sequence meets do not all fit, the longest stay and the others wait for the next sweep."""
-    longest, mean = max(wanted), -(-sum(k * c for k, c in wanted.items()) // sum(wanted.values()))
-    offer = lambda g: min(MAX_SLOTS, max(1, g // mean))
-    size_of = lambda g: g if offer(g) == 1 else max(g // offer(g), min(g, longest))
-    slots: dict[int, int] = {}
-    for g, n in free.items():
-        if g >= min(wanted):
-            slots[size_of(g)] = slots.get(size_of(g), 0) + n * offer(g)
-    spark = waiting.sparkSession
-    heights = F.broadcast(spark.createDataFrame(_levels(slots, wanted), "size int, is_piece boolean, height long, salts int"))  # at most 2 x capacity rows
+    count = sum(map(sum, wanted.values()))
+    shortest, longest, mean = min(wanted), max(wanted), -(-sum(k * sum(n) for k, n in wanted.items()) // count)
+    slots = []
+    for gap, blocks in free.items():
+        if gap >= shortest:
+            n = min(MAX_SLOTS, max(1, gap // mean))
+            size = gap if n == 1 else max(gap // n, min(gap, longest))
+            slots += [(size, gap, turn, blocks) for turn in range(n)]
+    size_of = {gap: size for size, gap, _, _ in slots}
+    rows = [(key, is_piece, turn, salt, salts, key if is_piece else size_of[key], base) for key, is_piece, turn, salt, salts, base in _levels(slots, wanted)]
+    # at most capacity x (MAX_SLOTS + 1) x salts rows; only sizes with many rows have more than one salt
+    bases = F.broadcast(waiting.sparkSession.createDataFrame(rows, "key int, is_piece boolean, turn int, salt int, salts int, size int, base long"))
+    salts = F.broadcast(bases.select("key", "is_piece", "salts").distinct())
 
     gap = F.col("gap")
-    n = F.least(F.lit(MAX_SLOTS), F.greatest(F.lit(1), F.floor(gap / mean))).cast("int")
-    size = F.when(n == 1, gap).otherwise(F.greatest(F.floor(gap / n), F.least(gap, F.lit(longest)))).cast("int")
-    offered = gaps.filter(gap >= min(wanted)).select(F.col("sequence_id").alias("id"), "gap", size.alias("size"), F.lit(False).alias("is_piece"), F.explode(F.sequence(F.lit(0), n - 1)).alias("turn"))
-    asking = waiting.select(F.col("item_id").alias("id"), F.lit(0).alias("gap"), F.col("length").alias("size"), F.lit(True).alias("is_piece"), F.lit(0).alias("turn"))
-    events = offered.unionByName(asking).join(heights, ["size", "is_piece"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    # rank inside a size: the rank in its block (turn, salt) after the rows of the blocks before
-    block = ["size", "is_piece", "turn", "salt"]
-    counts = events.groupBy(*block).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("size", "is_piece").orderBy("turn", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = F.broadcast(counts.select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))  # at most capacity x (MAX_SLOTS + 1) x salts
-    rank = F.row_number().over(Window.partitionBy(*block).orderBy("id"))
-    ranked = events.withColumn("inside", rank).join(bases, block)
-    level = F.col("height") + F.when(F.col("is_piece"), 1 - F.col("base") - F.col("inside")).otherwise(F.col("base") + F.col("inside"))
+    turns = F.least(F.lit(MAX_SLOTS), F.greatest(F.lit(1), F.floor(gap / mean))).cast("int")
+    offered = gaps.filter(gap >= shortest).select(F.col("sequence_id").alias("id"), gap.alias("key"), F.lit(False).alias("is_piece"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"))
+    asking = waiting.select(F.col("item_id").alias("id"), F.col("length").alias("key"), F.lit(True).alias("is_piece"), F.lit(0).alias("turn"))
+    block = ["key", "is_piece", "turn", "salt"]
+    events = offered.unionByName(asking).join(salts, ["key", "is_piece"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    # the rank of a row is its rank in its block after the rows of the blocks before
+    ranked = events.withColumn("inside", F.row_number().over(Window.partitionBy(*block).orderBy("id"))).join(bases.drop("salts"), block)
+    level = F.when(F.col("is_piece"), F.col("base") + 1 - F.col("inside")).otherwise(F.col("base") + F.col("inside"))
     # a level holds slots and pieces in turn, at most one of each a size; pieces at or below zero met no slot
-    ranked = ranked.select("id", "gap", "size", "is_piece", F.when(level > 0, level).otherwise(-F.col("id") - 1).alias("level"))
-    above = F.lag(F.when(~F.col("is_piece"), F.struct("id", "gap"))).over(Window.partitionBy("level").orderBy(F.desc("size"), "is_piece"))
-    met = ranked.withColumn("slot", above).filter("is_piece").select(F.col("id").alias("item_id"), F.col("size").alias("length"), F.col("slot.id").alias("sequence_id"), F.lit(None).cast("int").alias("gap"))
+    ranked = ranked.select("id", "key", "size", "is_piece", F.when(level > 0, level).otherwise(-F.col("id") - 1).alias("level"))
+    above = F.lag(F.when(~F.col("is_piece"), F.col("id"))).over(Window.partitionBy("level").orderBy(F.desc("size"), "is_piece"))
+    met = ranked.withColumn("slot", above).filter("is_piece").select(F.col("id").alias("item_id"), F.col("key").alias("length"), F.col("slot").alias("sequence_id"), F.lit(None).cast("int").alias("gap"))
 
     # a sequence's row comes first, then its pieces, longest first
     mine = Window.partitionBy(F.coalesce("sequence_id", -F.col("item_id") - 1))
@@ -186,19 +215,24 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = items.select("item_id", F.col("length").cast("int").alias("length"))
     lengths = dict(map(tuple, rows.groupBy("length").count().collect()))  # at most capacity rows
     nothing = spark.createDataFrame([], "sequence_id long, gap int")
-    gaps, free, opened, folders = nothing, {}, 0, []
+    waiting, gaps, wanted, free, opened, folders = rows.limit(0), nothing, {}, {}, 0, []
     high = capacity
     while high:
         low = high // BAND
-        wanted = {k: n for k, n in lengths.items() if low < k <= high}
-        waiting = rows.filter((F.col("length") > low) & (F.col("length") <= high))
-        while wanted:
-            new = fewest_sequences({k: n for k, n in wanted.items() if k > max(free, default=0)}, capacity)  # no gap takes these
+        band = {k: n for k, n in lengths.items() if low < k <= high}
+        ahead = sum(n for k, n in lengths.items() if k <= low)
+        waiting = waiting.unionByName(rows.filter((F.col("length") > low) & (F.col("length") <= high)))
+        wanted |= band
+        # few that wait go on with the next band, as its longest pieces; the last band ends when none waits
+        while sum(wanted.values()) > (LEFT_SHARE * ahead if not band else 0):
+            band = {}
+            over = sum(k * n for k, n in wanted.items()) - sum(k * n for k, n in free.items())  # tokens beyond all gaps together
+            new = max(fewest_sequences({k: n for k, n in wanted.items() if k > max(free, default=0)}, capacity), -(-over // capacity))
             if new:
                 gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).alias("gap")))
                 free[capacity] = free.get(capacity, 0) + new
                 opened += new
-            swept = stored(_sweep(waiting, gaps, wanted, free, capacity), "sweep", by="kind")
+            swept = stored(_sweep(waiting, gaps, _tally(waiting, "length", "item_id", wanted), _tally(gaps, "gap", "sequence_id", free), capacity), "sweep", by="kind")
             folders += swept.inputFiles()[:1]
             waiting = swept.filter("kind = 'waiting'").select("item_id", "length")
             gaps = swept.filter("kind = 'gap' and place > 0").select("sequence_id", F.col("place").alias("gap"))

@@ -33,14 +33,45 @@ def test_packing_opens_no_more_sequences_than_best_fit(spark, kind):
     for parts in sequences.values():
         ends = np.cumsum([n for _, n in sorted(parts)])
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
-    assert len(sequences) == best_fit_count(lengths)
-
-
-def test_packing_plan_stays_small():
-    """Its size hangs on the capacity, not on the number of pieces."""
-    for n in (100, 1_000_000):
-        runs = packing.fit_runs({length: n + length for length in range(1, 2049)}, 2048)
-        assert len(runs) < 4 * 2048 * 12 and Counter(r[0] for r in runs).keys() == set(range(1, 2049))
+    assert len(sequences) <= 1.002 * best_fit_count(lengths) + 1
+
+
+def test_levels_match_successors():
+    """The stack of slots gives each piece the smallest free slot that holds it, longest pieces first."""
+    slots, pieces = {9: 2, 5: 1, 4: 3}, {7: 1, 5: 3, 4: 1, 2: 4}
+    rows = packing._levels([(k, k, 0, [n]) for k, n in slots.items()], {k: [n] for k, n in pieces.items()})
+    place = {}
+    met = []
+    for key, is_piece, _, _, _, base in rows:
+        for rank in range(1, (pieces if is_piece else slots)[key] + 1):
+            if is_piece:
+                met.append((key, place.pop(base + 1 - rank, None)))
+            else:
+                place[base + rank] = key
+    free, want = sorted(k for k, n in slots.items() for _ in range(n)), []
+    for k in sorted((k for k, n in pieces.items() for _ in range(n)), reverse=True):
+        s = next((g for g in free if g >= k), None)
+        want.append((k, s))
+        if s:
+            free.remove(s)
+    assert met == want
+
+
+def test_hot_length_is_ranked_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_SALT", 50)
+    items = spark.createDataFrame([(k, 300 if k % 3 else 1 + k % 900) for k in range(2000)], "item_id long, length long").repartition(4)
+    out = packing.best_fit(items).join(items, "item_id").groupBy("sequence_id").agg({"length": "sum", "item_id": "count"}).collect()
+    assert sum(r["count(item_id)"] for r in out) == 2000 and all(r["sum(length)"] <= 2048 for r in out)
+    assert len(out) <= 1.005 * best_fit_count([300 if k % 3 else 1 + k % 900 for k in range(2000)]) + 1
+
+
+def test_long_white_space_is_encoded():
+    from tokenizers import Tokenizer
+
+    vocabulary = packing.default_vocabulary()
+    whole = Tokenizer.from_file(vocabulary[0])
+    for text in (" " * 1_000_000 + "x", "a" + "\n" * 5000 + "b", " " * 999 + "y"):
+        assert packing._encoder(*vocabulary)(text) == whole.encode(text, add_special_tokens=False).ids
 
 
 COPY = "one text that stands in many rows of the table as it was crawled again and again"
