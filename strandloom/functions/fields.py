@@ -12,9 +12,14 @@ def cut(line: Column, start: int, end: int) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Finite decimal number of the trimmed text, else null. Hexadecimal forms are not accepted."""
+    """Finite number of the trimmed text, else null: decimal, or an unsigned integer after 0x, 0o or 0b."""
     t = F.trim(text)
-    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    decimal = F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    out = F.when(~t.startswith("0"), decimal)
+    for pattern, base in ((r"^0[xX][0-9a-fA-F]{1,15}$", 16), (r"^0[oO][0-7]{1,20}$", 8), (r"^0[bB][01]{1,62}$", 2)):
+        out = out.when(t.rlike(pattern), F.conv(F.substring(t, 3, 64), base, 10).try_cast("double"))
+    out = out.otherwise(decimal)
+    return F.when(F.abs(out) < float("inf"), out)
 
 
 def prefix_integer(text: Column) -> Column:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EVENT = "event string, id string, path string, size_bytes long, status int, reason string, attempts int, elapsed_ms long"
+from ..sources.store import kept
+
+EVENT = "event string, id string, path string, size_bytes long, status int, reason string, attempts int, elapsed_ms long, ord long"
 
 
 def split_ids(texts: DataFrame) -> DataFrame:
@@ -23,15 +26,24 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return split_ids(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")))
 
 
-def write_ids(ids: DataFrame, path: str, column: str = "entry_id") -> None:
-    """One id a line, a valid id file for ``read_ids``; lines keep the order of each partition."""
-    ids.select(F.col(column).cast("string")).write.text(path)
+def join_ids(ids: DataFrame) -> DataFrame:
+    """source, text: the ids (source, ord, entry_id) of each source joined by commas in their order."""
+    return ids.groupBy("source").agg(F.expr("listagg(entry_id, ',') within group (order by ord)").alias("text"))
+
+
+def write_ids(ids: DataFrame, path: str, append: bool = False) -> None:
+    """Id files below ``path`` of comma-joined ids, one line a source, valid for ``read_ids``; ``append`` adds files."""
+    join_ids(ids).select("text").write.mode("append" if append else "errorifexists").text(path)
 
 
-def count_entries(response: DataFrame) -> DataFrame:
-    """total from JSON responses (body): total_count, total or response.numFound, whichever comes first."""
+def with_totals(answers: DataFrame) -> DataFrame:
+    """``answers`` (JSON body) with total: total_count, total or response.numFound, whichever comes first."""
     parsed = F.from_json("body", "total_count long, total long, response struct<numFound:long>")
-    return response.select(F.coalesce(parsed["total_count"], parsed["total"], parsed["response"]["numFound"]).alias("total"))
+    return answers.withColumn("total", F.coalesce(parsed["total_count"], parsed["total"], parsed["response"]["numFound"]))
+
+
+def count_entries(answers: DataFrame) -> DataFrame:
+    return with_totals(answers).select("total")
 
 
 def page_ids(pages: DataFrame) -> DataFrame:
@@ -48,17 +60,54 @@ def page_request(template: dict, start: int, rows: int) -> str:
     return json.dumps(template | {"request_options": options})
 
 
-def number_pages(ids: DataFrame, order: str, page_size: int = 1000) -> DataFrame:
-    """page and place of each row in the total order of ``order``. Ranges of the order are numbered in parallel: a
-    row's rank is its rank inside its range plus the rows of the ranges before."""
-    spark = ids.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("in_part", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    counts = ranged.groupBy("part").agg(F.max("in_part").alias("n"))  # one row a partition
+def page_plan(totals: DataFrame, page_size: int = 1000) -> DataFrame:
+    """start, rows of the requests that enumerate ``totals`` (total): pages up to the total, the last one truncated."""
+    pages = totals.filter("total > 0").select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / page_size))).alias("page"))
+    start = F.col("page") * page_size
+    return pages.select(start.alias("start"), F.least(F.lit(page_size), F.col("total") - start).alias("rows"))
+
+
+def up_to_empty(pages: DataFrame) -> DataFrame:
+    """Ids (page, ord, entry_id) of the pages before the first empty one; ``pages`` (page, body) as for ``page_ids``."""
+    found = page_ids(pages)
+    filled = pages.select("page").join(found.select("page").distinct().withColumn("filled", F.lit(True)), "page", "left")
+    first = filled.agg(F.min(F.when(F.col("filled").isNull(), F.col("page"))).alias("first_empty"))  # one row
+    return found.join(F.broadcast(first), F.col("first_empty").isNull() | (F.col("page") < F.col("first_empty"))).drop("first_empty")
+
+
+def enumerate_entries(spark: SparkSession, total: int, request: Callable[[int, int], str], page_size: int = 1000, parallel: int = 8) -> DataFrame:
+    """page, ord, entry_id of all pages up to ``total``; ``request`` (start, rows) gives the body of one page and runs in
+    ``parallel`` tasks. Pages after an empty one do not count."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"page": batch["start"] // page_size, "body": [request(int(a), int(n)) for a, n in zip(batch["start"], batch["rows"], strict=True)]})
+
+    plan = page_plan(spark.createDataFrame([(total,)], "total long"), page_size).repartition(parallel, "start")
+    return up_to_empty(plan.mapInPandas(run, "page long, body string"))
+
+
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with rank (from 0) in the total order of the columns ``order``. Ranges of the order are numbered in
+    parallel: a row's rank is its rank inside its range plus the rows of the ranges before. The ranges are kept as a
+    table, so that counting and numbering see the same ones."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row a range
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.col("before") + F.col("in_part") - 1
-    return ranged.join(F.broadcast(before), "part").withColumn("page", F.floor(rank / page_size)).withColumn("place", rank % page_size).drop("part", "in_part", "before")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("inside") - 1).drop("part", "before", "inside")
+
+
+def number_pages(ids: DataFrame, order: str, page_size: int = 1000) -> DataFrame:
+    """page and place of each row in the total order of ``order``."""
+    rank = F.col("rank")
+    return ranked(ids, order).withColumn("page", F.floor(rank / page_size)).withColumn("place", rank % page_size).drop("rank")
+
+
+def by_score(results: DataFrame) -> DataFrame:
+    """Search results (entry_id, score) with their rank by falling score; equal scores by id, null scores last."""
+    return ranked(results.withColumn("down", F.coalesce(-F.col("score"), F.lit(float("inf")))), "down", "entry_id").drop("down")
 
 
 def sample_size(n: int, percent: float) -> int:
@@ -66,10 +115,16 @@ def sample_size(n: int, percent: float) -> int:
     return 0 if not n or not p else max(1, int(n * p // 100))
 
 
+def sample_order(column: str, seed: int) -> Column:
+    """Arithmetic order of a sample: the MD5 of seed and id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")).cast("binary"))
+
+
 def sample(ids: DataFrame, percent: float, seed: int = 0, column: str = "entry_id") -> DataFrame:
-    """A sample without replacement of the size that ``sample_size`` gives, the same for the same seed: the rows with
-    the smallest arithmetic hash of (id, seed). The limit is what the operator is asked for."""
-    return ids.orderBy(F.xxhash64(F.col(column), F.lit(seed)), column).limit(sample_size(ids.count(), percent))
+    """A sample without replacement of the size that ``sample_size`` gives, the same for the same seed: the first rows in
+    ``sample_order``. Rows are ranked in ranges, so no task holds the sample."""
+    size = sample_size(ids.count(), percent)
+    return ranked(ids.withColumn("hash", sample_order(column, seed)), "hash", column).filter(F.col("rank") < size).drop("hash", "rank")
 
 
 def top_up(universe: DataFrame, attempted: DataFrame, column: str = "entry_id") -> DataFrame:
@@ -96,48 +151,98 @@ def warning_lists(warnings: DataFrame, cap: int = 5000) -> DataFrame:
     return warnings.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap).groupBy("structure_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
 
 
-def retry_delay(attempt: int, status: int | None, retry_after: float | None, base: float = 0.5, most: float = 15.0) -> float | None:
-    """Seconds to wait before the next try; None if the failure is final. 429 honours Retry-After up to the cap."""
+def retry_delay(attempt: int, status: int | None, retry_after: str | float | None, base: float = 0.5, most: float = 15.0) -> float | None:
+    """Seconds to wait before the next try, without jitter; None if the failure is final. 429 honours Retry-After up to the
+    cap, where it is a number; else waits double up to the cap."""
+    if status is not None and status != 429 and not 500 <= status < 600:
+        return None
     if status == 429 and retry_after is not None:
-        return min(most, retry_after)
-    if status is None or status == 429 or status >= 500:
-        return min(most, base * 2**attempt) * 1.1
-    return None
+        try:
+            return min(most, float(retry_after))
+        except ValueError:
+            pass
+    return min(most, base * 2**attempt)
+
+
+def retry_delays(attempts: DataFrame, base: float = 0.5, most: float = 15.0) -> DataFrame:
+    """``attempts`` (attempt, status, retry_after as text) with delay, as ``retry_delay`` has it: null if final."""
+    asked = F.when(F.col("status") == 429, F.col("retry_after").try_cast("double"))
+    again = F.col("status").isNull() | (F.col("status") == 429) | F.col("status").between(500, 599)
+    return attempts.withColumn("delay", F.when(again, F.least(F.lit(most), F.coalesce(asked, base * F.pow(F.lit(2.0), F.col("attempt"))))))
+
+
+FORMATS = ("cif", "pdb")
+
+
+def download_plan(ids: DataFrame, base_url: str, folder: str, file_format: str = "pdb") -> DataFrame:
+    """ord, entry_id, url, target of the ids (ord, entry_id) to fetch; trimmed, blank ones left out."""
+    if file_format.lower() not in FORMATS:
+        raise ValueError(f"unknown format: {file_format}")
+    name = F.concat(F.col("entry_id"), F.lit(f".{file_format.lower()}"))
+    named = ids.withColumn("entry_id", F.trim("entry_id")).filter("entry_id <> ''")
+    return named.select("ord", "entry_id", F.concat(F.lit(base_url.rstrip("/") + "/"), name).alias("url"), F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("target"))
+
 
+def parallel_tasks(asked: str | int | None, cores: int) -> int:
+    """Tasks that download at once: the positive number asked for, else ("auto" or anything else) half the cores."""
+    text = str(asked)
+    return int(text) if text.isdigit() and int(text) > 0 else max(1, cores // 2)
 
-def download(ids: DataFrame, fetch: Callable[[str], tuple[int, bytes]], sink: Callable[[str, bytes], str], done: DataFrame | None = None, parallel: int = 8, retries: int = 5) -> DataFrame:
-    """Fetch entries in ``parallel`` tasks and return their events; entries in ``done`` (entry_id, path, size_bytes) of
-    a positive size are skipped and count as fetched. ``fetch`` gives status and body, ``sink`` stores one and names its place."""
-    wanted = ids.filter(F.trim("entry_id") != "").select(F.trim("entry_id").alias("entry_id"))
+
+Fetch = Callable[[str], tuple[int, bytes, str | None]]
+
+
+def download(plan: DataFrame, fetch: Fetch, sink: Callable[[str, bytes], None], done: DataFrame | None = None, parallel: int = 8, retries: int = 5, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Events of the downloads of ``plan`` (see ``download_plan``), with the ord of their ids; entries whose target is in
+    ``done`` (target, size_bytes) with a positive size are skipped and count as fetched.
+
+    ``fetch`` (url) gives status, body and the Retry-After header; ``sink`` (target, body) stores a file. A failed try is
+    repeated ``retries`` times after ``retry_delay`` and up to a tenth more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for entry in batch["entry_id"]:
-                began, status, reason, path, size, attempt = time.monotonic(), None, None, None, None, 0
-                for attempt in range(1, retries + 1):
+            for place, entry, url, target in zip(batch["ord"], batch["entry_id"], batch["url"], batch["target"], strict=True):
+                began, attempt = time.monotonic(), 0
+                while True:
                     try:
-                        status, body = fetch(entry)
-                        reason = None if status == 200 else f"status {status}"
+                        status, body, later = fetch(url)
+                        reason = {429: "rate_limited"}.get(status, "server_error" if status >= 500 else "client_error")
                     except OSError as e:
-                        status, body, reason = None, b"", str(e)
+                        status, body, later, reason = None, b"", None, type(e).__name__
+                    attempt += 1
                     if status == 200:
-                        path, size = sink(entry, body), len(body)
+                        sink(target, body)
                         break
-                    wait = retry_delay(attempt - 1, status, None)
-                    if wait is None or attempt == retries:
+                    delay = retry_delay(attempt - 1, status, later)
+                    if delay is None or attempt > retries:
                         break
-                    time.sleep(wait)
-                out.append(("download_ok" if path else "download_error", entry, path, size, status, reason, attempt, int((time.monotonic() - began) * 1000)))
-            yield pd.DataFrame(out, columns=["event", "id", "path", "size_bytes", "status", "reason", "attempts", "elapsed_ms"])
+                    wait(delay * (1 + random.random() / 10))
+                good = status == 200
+                out.append(("download_ok" if good else "download_error", entry, target, len(body) if good else None, status, None if good else reason, attempt, int((time.monotonic() - began) * 1000), place))
+            columns = ["event", "id", "path", "size_bytes", "status", "reason", "attempts", "elapsed_ms", "ord"]
+            yield pd.DataFrame(out, columns=columns).astype({"size_bytes": "Int64", "status": "Int32"})
+
+    if done is None:
+        return plan.repartition(parallel).mapInPandas(run, EVENT)
+    have = done.filter("size_bytes > 0").select("target").distinct()
+    none = F.lit(None)
+    skipped = plan.join(have, "target", "left_semi").select(F.lit("download_skip").alias("event"), F.col("entry_id").alias("id"), F.col("target").alias("path"), none.cast("long").alias("size_bytes"), none.cast("int").alias("status"), F.lit("exists").alias("reason"), none.cast("int").alias("attempts"), none.cast("long").alias("elapsed_ms"), F.col("ord").cast("long"))
+    return plan.join(have, "target", "left_anti").repartition(parallel).mapInPandas(run, EVENT).unionByName(skipped)
+
+
+def fetched_paths(events: DataFrame) -> DataFrame:
+    """ord, path of the downloads that hold a file, fetched now or before, numbered as their ids were."""
+    return events.filter(F.col("event").isin("download_ok", "download_skip")).select("ord", "path")
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Append events to a log of JSON lines; null fields are left out of a line."""
+    events.write.mode("append").json(path)
+
 
-    skipped = None
-    if done is not None:
-        have = done.filter("size_bytes > 0")
-        skipped = wanted.join(have, "entry_id").select(F.lit("download_skip").alias("event"), F.col("entry_id").alias("id"), "path", F.col("size_bytes").cast("long"), F.lit(None).cast("int").alias("status"), F.lit("exists").alias("reason"), F.lit(0).alias("attempts"), F.lit(0).cast("long").alias("elapsed_ms"))
-        wanted = wanted.join(have, "entry_id", "left_anti")
-    events = wanted.repartition(parallel).mapInPandas(run, EVENT)
-    return events if skipped is None else events.unionByName(skipped)
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENT).json(path)
 
 
 def fetch_exactly(universe: DataFrame, target: int, attempt: Callable[[DataFrame], DataFrame], column: str = "entry_id", seed: int = 0) -> DataFrame:
@@ -147,7 +252,7 @@ def fetch_exactly(universe: DataFrame, target: int, attempt: Callable[[DataFrame
     events = None
     have = 0
     while have < target:
-        batch = top_up(universe.select(column).distinct(), tried, column).orderBy(F.xxhash64(F.col(column), F.lit(seed)), column).limit(target - have)
+        batch = top_up(universe.select(column).distinct(), tried, column).orderBy(sample_order(column, seed), column).limit(target - have)
         got = attempt(batch)
         n = got.count()
         if not n:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.elements import element_symbol
@@ -53,6 +53,30 @@ def bond_selections(bonds: DataFrame, selections: DataFrame) -> DataFrame:
     return bonds.join(a, ["structure_id", "a"]).join(b, ["structure_id", "b"])
 
 
+def chain_keys(chains: DataFrame) -> DataFrame:
+    """structure_id, key, chain_idx: the dictionary of chain ids; of equal ids the last index counts."""
+    return chains.groupBy("structure_id", F.col("chain_id").alias("key")).agg(F.max("chain_idx").alias("chain_idx"))
+
+
+def residue_keys(atoms: DataFrame, chains: DataFrame, residues: DataFrame) -> DataFrame:
+    """structure_id, key, residue_idx: the dictionary of residues by chain of their first atom, number, insertion code and
+    name; of equal keys the last index counts. Residues without atoms have a blank chain."""
+    of = residues.select("structure_id", "residue_idx", "res_seq", "icode", "res_name").join(residue_chains(atoms), ["structure_id", "residue_idx"], "left").join(chains, ["structure_id", "chain_idx"], "left")
+    key = F.concat_ws("|", F.coalesce("chain_id", F.lit(" ")), F.col("res_seq").cast("string"), F.coalesce("icode", F.lit("")), "res_name")
+    return of.groupBy("structure_id", key.alias("key")).agg(F.max("residue_idx").alias("residue_idx"))
+
+
+def table_sizes(atoms: DataFrame) -> DataFrame:
+    """structure_id, atoms, residues, chains: lengths of arrays that any index of the atoms fits in."""
+    return atoms.groupBy("structure_id").agg(*[(F.max(c) + 1).alias(n) for c, n in (("atom_idx", "atoms"), ("residue_idx", "residues"), ("chain_idx", "chains"))])
+
+
+def visible_chains(flags: DataFrame) -> DataFrame:
+    """structure_id, chains: rising indices of the chains of ``flags`` (structure_id, chain_idx, visible) that are not switched off."""
+    shown = F.when(F.coalesce(F.col("visible"), F.lit(True)), F.col("chain_idx"))
+    return flags.groupBy("structure_id").agg(F.array_sort(F.collect_list(shown)).alias("chains"))
+
+
 def hovered(atoms: DataFrame, picks: DataFrame, mode: str) -> DataFrame:
     """picks (structure_id, atom_idx) to the hovered id of ``mode``: atom, residue or chain; unknown atoms give no row."""
     column = {"atom": "atom_idx", "residue": "residue_idx", "chain": "chain_idx"}[mode]
@@ -73,6 +97,58 @@ def pick_cell(atoms: DataFrame, radius_scale: float = 1.0) -> DataFrame:
     return atoms.groupBy("structure_id").agg(F.greatest(F.lit(1e-4), F.avg(single("radius")) * (radius_scale * 2)).alias("cell"))
 
 
+def _crossings(some: Column, first: Column, step: Column, axis: int) -> Column:
+    return F.transform(some, lambda k: F.struct((first + k * step).alias("t"), F.lit(axis).alias("axis")))
+
+
+def grid_ray_hits(atoms: DataFrame, boxes: DataFrame, rays: DataFrame, radius_scale: float = 1.0) -> DataFrame:
+    """The sphere that picking through a grid finds: structure_id, ray, atom_idx, t.
+
+    Atoms lie in cells of ``pick_cell`` from the corner of their structure's box (min_x, max_x, ...). A ray visits the
+    cells on its way through the box, one after another, and ends with the nearest hit so far once that lies before the
+    cell's far side; a sphere that reaches out of its cell may so lose to a farther one. Cells and atoms meet by an
+    equi-join, so a ray only meets the atoms along it."""
+    r = rays.join(boxes, "structure_id").join(pick_cell(atoms, radius_scale), "structure_id")
+    enter, leave, outside = F.lit(0.0), F.lit(float("inf")), F.lit(False)
+    for c in "xyz":
+        o, d, lo, hi = (F.col(f"{k}{c}") for k in ("o", "d", "min_", "max_"))
+        flat = F.abs(d) < 1e-8
+        a, b = F.try_divide(lo - o, d), F.try_divide(hi - o, d)
+        enter = F.greatest(enter, F.when(~flat, F.least(a, b)).otherwise(F.lit(float("-inf"))))
+        leave = F.least(leave, F.when(~flat, F.greatest(a, b)).otherwise(F.lit(float("inf"))))
+        outside = outside | (flat & ((o < lo) | (o > hi)))
+    r = r.withColumns({"t0": enter, "t1": leave}).filter(~outside & (F.col("t0") <= F.col("t1")))
+    crossings = []
+    for n, c in enumerate("xyz"):
+        d = F.col(f"d{c}")
+        start = F.col(f"o{c}") + d * F.col("t0") - F.col(f"min_{c}")
+        r = r.withColumn(f"i{c}", F.floor(start / F.col("cell")))
+        side = (F.col(f"i{c}") + F.when(d > 0, 1).otherwise(0)) * F.col("cell")
+        first, step = F.try_divide(side - start, d), F.try_divide(F.col("cell"), F.abs(d))
+        last = F.floor(F.try_divide(F.col("t1") - F.col("t0") - first, step))
+        some = F.when((d != 0) & (last >= 0), F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
+        crossings.append(_crossings(some, F.col("t0") + first, step, n))
+    begin = F.array(F.struct(F.col("t0").alias("t"), F.lit(-1).alias("axis")))
+    cells = r.select("*", F.posexplode(F.concat(begin, F.array_sort(F.concat(*crossings)))).alias("place", "at"))
+    way = Window.partitionBy("structure_id", "ray").orderBy("place")
+    for n, c in enumerate("xyz"):
+        moved = F.sum((F.col("at.axis") == n).cast("long")).over(way)
+        cells = cells.withColumn(f"c{c}", F.col(f"i{c}") + moved * F.signum(f"d{c}").cast("long"))
+    cells = cells.withColumn("exit", F.lead("at.t", 1, float("inf")).over(way))
+    box = boxes.select("structure_id", *[F.col(f"min_{c}").alias(f"low_{c}") for c in "xyz"]).join(pick_cell(atoms, radius_scale), "structure_id")
+    placed = atoms.select("structure_id", "atom_idx", *[single(c).alias(c) for c in "xyz"], (single("radius") * radius_scale).alias("r")).join(box, "structure_id")
+    placed = placed.select("structure_id", "atom_idx", "x", "y", "z", "r", *[F.floor((F.col(c) - F.col(f"low_{c}")) / F.col("cell")).alias(f"c{c}") for c in "xyz"])
+    met = cells.join(placed, ["structure_id", "cx", "cy", "cz"], "left")
+    o = {c: F.col(f"o{c}") - F.col(c) for c in "xyz"}
+    b = o["x"] * F.col("dx") + o["y"] * F.col("dy") + o["z"] * F.col("dz")
+    disc = b * b - (o["x"] * o["x"] + o["y"] * o["y"] + o["z"] * o["z"] - F.col("r") * F.col("r"))
+    t = F.when(disc >= 0, -b - F.sqrt(F.greatest(disc, F.lit(0.0))))
+    hit = F.when(t.between(F.col("t0"), F.col("t1")), F.struct(t.alias("t"), "atom_idx"))
+    each = met.groupBy("structure_id", "ray", "place", "exit").agg(F.min(hit).alias("h"))
+    each = each.withColumn("h", F.min("h").over(way)).filter(F.col("h.t") < F.col("exit"))
+    return each.groupBy("structure_id", "ray").agg(F.min_by("h", "place").alias("h")).select("structure_id", "ray", F.col("h.atom_idx").alias("atom_idx"), F.col("h.t").alias("t"))
+
+
 def ray_hits(atoms: DataFrame, rays: DataFrame, radius_scale: float = 1.0) -> DataFrame:
     """Nearest sphere that each ray (structure_id, ray, ox, oy, oz, dx, dy, dz with unit direction) enters at t >= 0.
 

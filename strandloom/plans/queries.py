@@ -431,12 +431,6 @@ def topup_anti_join(spark, sf_dir):
     return catalog.top_up(docs, labels)
 
 
-@query()
-def sample_hash_k(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("entry_id"))
-    return catalog.sample(orders, 10, seed=42)
-
-
 @query("select count(*) filter (where event_type in ('purchase', 'view')) as ok, count(*) filter (where event_type not in ('purchase', 'view')) as failed from events")
 def event_success_counts(spark, sf_dir):
     kind = F.when(F.col("event_type") == "purchase", "download_ok").when(F.col("event_type") == "view", "download_skip").otherwise("download_error")

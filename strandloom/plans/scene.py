@@ -14,6 +14,7 @@ from ..operators import atoms as A
 from ..operators import backbone as B
 from ..operators import bonds as C
 from ..operators import lookup, parsing
+from ..sources.store import kept
 from ..sources.structures import atom_line
 
 # Fixed values of the derived structures: name and element by line number 1 to 7, and secondary records.
@@ -63,7 +64,8 @@ def derived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Scene:
-    """Lazy tables of parsed structures; give lines (structure_id, line_no, line)."""
+    """Tables of parsed structures; give lines (structure_id, line_no, line). Accepted records and atoms, from which nearly
+    everything else is made, are kept once as Parquet when first asked for; all other tables are lazy."""
 
     def __init__(self, lines: DataFrame, alt_loc: str = "occupancy", model: int | None = None, policy: str = "conect+heuristic", backbone_rep: str = "observed", segments: str = "closed"):
         self.lines, self.alt_loc, self.model, self.policy, self.rep, self.segment_rule = lines, alt_loc, model, policy, backbone_rep, segments
@@ -74,7 +76,7 @@ class Scene:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return parsing.atoms_raw(self.records)
+        return kept(parsing.atoms_raw(self.records), "raw")
 
     @cached_property
     def chains(self) -> DataFrame:
@@ -90,7 +92,7 @@ class Scene:
 
     @cached_property
     def atoms(self) -> DataFrame:
-        return A.pack(self.sites, self.chains, self.residues)
+        return kept(A.pack(self.sites, self.chains, self.residues), "atoms")
 
     @cached_property
     def conect(self) -> DataFrame:

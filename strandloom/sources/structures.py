@@ -2,9 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from urllib.request import urlopen
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FETCHED = "structure_id string, text string, reason string"
+
+
+def open_url(url: str) -> str:
+    with urlopen(url, timeout=60) as answer:  # noqa: S310
+        return answer.read().decode("utf-8", "replace")
+
+
+def fetch_structures(urls: DataFrame, fetch: Callable[[str], str] = open_url, fallback: Callable[[str], str] | None = None) -> DataFrame:
+    """structure_id (the url), text, reason for each row of ``urls`` (url), fetched where the rows lie. Where ``fetch``
+    fails, ``fallback`` has its turn; where both fail, text is null and reason tells why. Feed texts to ``lines``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for url in batch["url"]:
+                text = reason = None
+                for attempt in (fetch, fallback):
+                    if attempt is None or text is not None:
+                        continue
+                    try:
+                        text, reason = attempt(url), None
+                    except (OSError, ValueError) as e:
+                        reason = f"{type(e).__name__}: {e}"
+                out.append((url, text, reason))
+            yield pd.DataFrame(out, columns=["structure_id", "text", "reason"])
+
+    return urls.select("url").mapInPandas(run, FETCHED)
+
 
 def read_structures(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][bB]") -> DataFrame:
     """structure_id (file path), line_no, line of all structure files below ``path``. A file is one record, so its lines keep their numbers."""

@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from strandloom.plans import more_queries  # noqa: F401
 from strandloom.plans.queries import ORACLE, QUERIES
 
 ROOT = str(Path(__file__).resolve().parents[1])
