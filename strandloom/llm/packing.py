@@ -36,7 +36,7 @@ LEFT_SHARE = 0.1
 #: Slots that one gap offers in a sweep at most; the next sweep offers more.
 MAX_SLOTS = 64
 #: Rows of one size are ranked in blocks of about this many, in at most MAX_SALTS of them.
-ROWS_PER_SALT, MAX_SALTS = 20_000, 256
+ROWS_PER_SALT, MAX_SALTS = 1000, 256
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 #: The rank encoder's pattern needs stack for every character of a white-space run; longer runs go to the other library.
