@@ -89,22 +89,18 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, resolution: int = RESOL
     cell = F.pmod(F.col("group"), F.lit(n_cells)).cast("int")
     cells = groups.filter(most <= 1.0 / n_cells).groupBy(cell.alias("cell")).agg(*[F.sum(m).alias(m) for m in MEASURES]).collect()  # at most n_cells
 
-    names, vectors = [], []
-    for r in heavy_rows:
-        for p in range(r["parts"]):
-            names.append((r["group"], p))
-            vectors.append([r[m] / r["parts"] for m in MEASURES])
-    for r in cells:
-        names.append((None, r["cell"]))
-        vectors.append([r[m] for m in MEASURES])
+    spark = docs.sparkSession
+    heads = F.broadcast(spark.createDataFrame([(r["group"], r["parts"]) for r in heavy_rows], "group long, parts int"))
+    dealt = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    # what each part of a split group really holds; at most 4 x shards + 1 parts for each of at most 3 x shards groups
+    split = narrow.join(heads.filter("parts > 1"), "group").groupBy("group", dealt.alias("part")).agg(*sums).collect()
+    names = [(r["group"], r["part"]) for r in split] + [(r["group"], 0) for r in heavy_rows if r["parts"] == 1] + [(None, r["cell"]) for r in cells]
+    vectors = [[r[m] for m in MEASURES] for r in [*split, *(r for r in heavy_rows if r["parts"] == 1), *cells]]
     units = np.array(vectors, dtype=float).reshape(-1, 3) / total
     where = level(units, place(units, shards), shards)
 
-    spark = docs.sparkSession
-    single = [(g, r["parts"]) for r in heavy_rows for g in (r["group"],)]
-    heads = F.broadcast(spark.createDataFrame(single, "group long, parts int"))
     chosen = F.broadcast(spark.createDataFrame([(*n, int(w)) for n, w in zip(names, where, strict=True)], "of long, part int, shard int"))
-    part = F.when(F.col("parts").isNull(), cell).otherwise(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    part = F.when(F.col("parts").isNull(), cell).otherwise(dealt)
     found = narrow.join(heads, "group", "left").withColumn("unit_part", part).withColumn("of_group", F.when(F.col("parts").isNotNull(), F.col("group")))
     found = found.join(chosen, F.col("of_group").eqNullSafe(F.col("of")) & (F.col("unit_part") == F.col("part")))
     bucket = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")
