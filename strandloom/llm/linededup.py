@@ -156,13 +156,13 @@ def _touched(spark: SparkSession, lost: DataFrame, max_filter_bytes: int) -> Cal
     return test
 
 
-def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """``docs`` with text replaced by its kept lines, plus n_lines (before) and n_dropped.
+def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, max_filter_bytes: int = MAX_FILTER_BYTES, counts: bool = True) -> DataFrame:
+    """``docs`` with text replaced by its kept lines, plus n_lines (before) and n_dropped if ``counts``.
 
     A key of ``min_key`` code points or more that stands in two documents at least loses all its lines except in the
     smallest doc_id that holds it. Rows that repeat a doc_id are one document, so they don't repeat each other. A null
     doc_id is one document after all others. A null or empty text is one empty line and becomes the empty text.
-    Columns named n_lines or n_dropped are replaced; all others pass through. An empty table gives no rows."""
+    With counts, columns named n_lines or n_dropped are replaced; all others pass through. An empty table gives no rows."""
     spark = docs.sparkSession
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     packed, bits = repeated_filter(plain, min_key, max_filter_bytes)
@@ -178,13 +178,13 @@ def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, max_filter_bytes: int =
     drop_stored(suspects, confirmed)
     test = _touched(spark, lost, max_filter_bytes)
 
-    base = docs.drop("n_lines", "n_dropped").withColumn("text", F.col("text").cast("string"))
+    base = (docs.drop("n_lines", "n_dropped") if counts else docs).withColumn("text", F.col("text").cast("string"))
     names = base.columns
     at = names.index("text")
     row_hash = F.xxhash64("doc_id", F.xxhash64("text"))
     text = F.coalesce("text", F.lit(""))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    whole = base.filter(~test(row_hash)).withColumns({"text": text, "n_lines": n_lines, "n_dropped": F.lit(0).cast("long")})
+    whole = base.filter(~test(row_hash)).withColumns({"text": text} | ({"n_lines": n_lines, "n_dropped": F.lit(0).cast("long")} if counts else {}))
     same = (row_hash == F.col("__row_hash")) & base["doc_id"].eqNullSafe(F.col("__lost_id")) & (F.xxhash64(base["text"]) == F.col("__lost_hash"))
     wide = base.filter(test(row_hash)).join(lost.hint("shuffle_hash"), same, "left").select(*[F.col(f"`{c}`") for c in names], "__lost")
 
@@ -200,7 +200,9 @@ def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, max_filter_bytes: int =
                 texts.append(b"\n".join(kept).decode())
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+            if counts:
+                columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"][: len(columns)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return whole.unionByName(wide.mapInArrow(rebuild, f"{fields}, n_lines long, n_dropped long"))
+    return whole.unionByName(wide.mapInArrow(rebuild, fields + ", n_lines long, n_dropped long" * counts))

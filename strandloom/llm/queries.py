@@ -1,4 +1,8 @@
-"""One query for each operator over its whole table, and the pipeline; SQL for those that SQL can express."""
+"""One query for each operator over its whole table, and the pipeline; SQL for those that SQL can express.
+
+Nulls, empty and long texts, ties, repeated rows, empty tables and further columns are the operators' matter: each says in
+its docstring what it makes of them, and a query only names columns. Every row of the table gives its row (op1: its
+pieces), rows that repeat an id give one each."""
 
 from __future__ import annotations
 

@@ -9,8 +9,6 @@ from strandloom.llm.common import table
 from strandloom.llm.graph import connected_components
 from strandloom.llm.queries import QUERIES
 
-#: Toxic words are learned for each of four languages, so their test needs the labels of the largest table.
-LARGER = {"quality": "/root/testdata/sf0.01", "toxic": "/root/testdata/sf0.1"}
 
 
 def auc(pairs):
@@ -18,12 +16,14 @@ def auc(pairs):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize(("name", "label"), [("op5_quality_classifier", "quality"), ("op7_toxicity", "toxic")])
-def test_held_out_accuracy(spark, name, label):
-    labels = table(spark, LARGER[label], "labels").select("doc_id", label).filter(f"{label} is not null")
-    rows = QUERIES[name](spark, LARGER[label]).filter("held_out").join(labels, "doc_id").select("score", label, "predicted").collect()
+@pytest.mark.parametrize(("name", "label", "folder"), [("op5_quality_classifier", "quality", "sf0.01"), ("op7_toxicity", "toxic", "sf0.01"), ("op7_toxicity", "toxic", "sf0.1")])
+def test_held_out_accuracy(spark, name, label, folder):
+    folder = f"/root/testdata/{folder}"
+    labels = table(spark, folder, "labels").select("doc_id", label).filter(f"{label} is not null")
+    rows = QUERIES[name](spark, folder).filter("held_out").join(labels, "doc_id").select("score", label, "predicted").collect()
     assert auc([(r[0], r[1]) for r in rows]) >= 0.9
     assert np.mean([r[1] == r[2] for r in rows]) >= 0.85
+    assert np.mean([r[2] for r in rows if r[1]]) >= 0.9
 
 
 def test_held_out_labels_are_not_learned(spark, sf_dir):
