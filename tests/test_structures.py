@@ -108,3 +108,47 @@ def test_catalog(spark):
     assert catalog.sample(universe, 10).count() == catalog.sample_size(1000, 10) == 100
     assert rows(catalog.sample(universe, 10, seed=1), "entry_id") == rows(catalog.sample(universe, 10, seed=1), "entry_id")
     assert catalog.top_up(universe, universe.limit(990)).count() == 10
+
+
+def test_wave_carries_distances_to_boundary_points():
+    """Each distance is that to some boundary point and none is below the exact one; nothing within the cut is missed."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        centres = rng.integers(0, 14, (3, 3))
+        cells = np.array([(i, j, k) for i in range(-6, 20) for j in range(-6, 20) for k in range(-6, 20) if min(((centres - (i, j, k)) ** 2).sum(axis=1)) <= 20])
+        full = set(map(tuple, cells.tolist()))
+        bound = np.array([c for c in cells.tolist() if any((c[0] + a, c[1] + b, c[2] + d) not in full for a, b, d in surface.NEIGHBOURS)])
+        cut = 2.8
+        found = surface.distance_wave(cells, bound, cut)
+        for c in cells.tolist():
+            each = ((bound - c) ** 2).sum(axis=1)
+            if (got := found.get(tuple(c))) is None:
+                assert each.min() > cut * cut
+            else:
+                assert got >= each.min() and got in each
+
+
+def test_downloads_are_repeated_and_resumed(spark):
+    from strandloom.operators import catalog
+
+    ids = spark.createDataFrame([(0, " 1abc "), (1, ""), (2, "2xyz"), (3, "3gone")], "ord long, entry_id string")
+    plan = catalog.download_plan(ids, "http://x/", "out", "PDB")
+    assert rows(plan, "url") == [("http://x/1abc.pdb",), ("http://x/2xyz.pdb",), ("http://x/3gone.pdb",)]
+    done = spark.createDataFrame([("out/2xyz.pdb", 5), ("out/1abc.pdb", 0)], "target string, size_bytes long")
+    answers = lambda url: (404, b"", None) if "gone" in url else (200, b"text", None)
+    events = catalog.download(plan, answers, lambda target, body: None, done)
+    assert rows(events, "ord", "event", "attempts") == sorted([(0, "download_ok", 1), (2, "download_skip", None), (3, "download_error", 1)])
+    assert [catalog.retry_delay(0, s, r) for s, r in ((429, "99"), (429, "soon"), (503, None), (404, None), (None, None))] == [15.0, 0.5, 0.5, None, 0.5]
+    assert [catalog.parallel_tasks(x, 9) for x in ("auto", "3", "0", None, "-1")] == [4, 3, 4, 4, 4]
+
+
+def test_enumeration_stops_at_an_empty_page(spark):
+    import json
+
+    from strandloom.operators import catalog
+
+    body = lambda start, n: json.dumps({"result_set": [] if start == 20 else [{"identifier": f"e{k}"} for k in range(start, start + n)]})
+    assert [r["entry_id"] for r in catalog.enumerate_entries(spark, 35, body, 10).orderBy("page", "ord").collect()] == [f"e{k}" for k in range(20)]
+    assert catalog.enumerate_entries(spark, 15, body, 10).count() == 15
