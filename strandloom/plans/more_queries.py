@@ -333,3 +333,17 @@ def ray_grid_hit(spark, sf_dir):
 @query(over(_BONDS) + "select structure_id, 'Heuristic bonds: created ' || count(*) || ' total bonds' as warning from bonds group by 1")
 def bond_warnings(spark, sf_dir):
     return C.bond_warnings(scene(spark, sf_dir).bonds)
+
+
+@query(over() + """, box as (
+        select structure_id, floor(min(x - (vdw + 1.4)) - (5.5 + 1.4)) as lx, floor(min(y - (vdw + 1.4)) - (5.5 + 1.4)) as ly, floor(min(z - (vdw + 1.4)) - (5.5 + 1.4)) as lz from f group by 1
+    ), ball as (
+        select structure_id, atom_idx, floor(x - lx + 0.5)::int as ci, floor(y - ly + 0.5)::int as cj, floor(z - lz + 0.5)::int as ck, first(vdw + 1.4 + 0.5) over (partition by structure_id, floor(vdw + 1.4 + 0.5 + 0.5) order by atom_idx) as rad from f join box using (structure_id)
+    ), o as (select unnest(range(-5, 6))::int as d), oo as materialized (select p.d as di, q.d as dj, w.d as dk, p.d * p.d + q.d * q.d + w.d * w.d as d2 from o p, o q, o w)
+    select structure_id, i, j, k, (best % 1000000)::int as atom_idx, (best // 1000000)::int as d2 from (
+        select structure_id, ci + di as i, cj + dj as j, ck + dk as k, min(d2::bigint * 1000000 + atom_idx) as best from ball join oo on d2 <= rad * rad group by all
+    )""")
+def sas_fill_owner(spark, sf_dir):
+    """Voxels of the solvent-accessible solid with their owners."""
+    atoms = surface.surface_input(scene(spark, sf_dir).atoms)
+    return surface.fill(atoms, surface.grids(atoms, "sas", voxel=1.0), "sas")
