@@ -159,6 +159,7 @@ def test_main_text_of_whole_tables(spark, sf_dir, marked):
         pages = pages.withColumn("html", F.regexp_replace("html", "(?i)(</?)(article|main)", "$1div")).withColumn("url", host)
     out = sorted(map(tuple, pagetext.main_text(pages).collect()), key=str)
     assert out == plain_main_text([tuple(r) for r in pages.collect()])
+    assert out == sorted(map(tuple, pagetext.main_text(pages, every_host=True).collect()), key=str)
     assert sum(bool(t) for _, _, t in out) > 0.5 * len(out)
 
 
