@@ -12,7 +12,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_classifier, linededup, packing, pagetext, quality_rules, sharding, simhash, toxicity, warc
+from . import decontaminate, divergence, embed_classifier, linededup, packing, pagetext, quality_rules, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -64,10 +64,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_main_text, op3_simhash, op4_quality_rules, op5_quality_classifier, op6_warc, op7_toxicity, op8_line_dedup, op9_sharding, op10_decontamination,
+        op13_source_divergence,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -116,6 +121,32 @@ ORACLE: dict[str, str] = {
         select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from dw left join pos using (doc_id) left join its using (doc_id)
     """,
+    "op13_source_divergence": f"""
+        with d as (
+            select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents
+        ), g as (select distinct lang, source from d),
+        c as (select lang, source, term, count(*) as n, count(distinct id) as df from (select id, lang, source, unnest(w) as term from d) group by all),
+        t as (select lang, term, sum(n) as n from c group by lang, term having sum(df) >= 30),
+        v as (select lang, count(*) as v, sum(n) as total from t group by lang),
+        gt as (select c.lang, c.source, sum(c.n) as total from c join t using (lang, term) group by all),
+        p as materialized (
+            select g.lang, g.source, t.term, coalesce(c.n, 0) as n,
+                1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(gt.total, 0) + 5 * v.v) as p,
+                1 + (1000000000::hugeint * (t.n + 5)) // (v.total + 5 * v.v) as q
+            from g join t using (lang) join v using (lang) left join gt on gt.lang = g.lang and gt.source = g.source
+            left join c on c.lang = g.lang and c.source = g.source and c.term = t.term
+        ), f as (
+            select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ), pairs as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+            from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+        ), terms as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where n > 0 and p > q),
+        r as (
+            select *, (row_number() over (partition by lang, source, part order by value desc, encode(item)))::int as rank from (from pairs union all from terms)
+        )
+        select * from r where part = 'pair' or rank <= 50
+    """,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
