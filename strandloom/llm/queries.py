@@ -12,7 +12,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embed_classifier, linededup, packing, pagetext, quality_rules, sharding, simhash, toxicity, warc
+from . import decontaminate, divergence, embed_classifier, linededup, packing, pagetext, quality_rules, sharding, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_main_text, op3_simhash, op4_quality_rules, op5_quality_classifier, op6_warc, op7_toxicity, op8_line_dedup, op9_sharding, op10_decontamination,
-        op13_source_divergence,
+        op12_exact_topk, op13_source_divergence,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -121,6 +125,16 @@ ORACLE: dict[str, str] = {
         select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from dw left join pos using (doc_id) left join its using (doc_id)
     """,
+    "op12_exact_topk": """
+        with v as (
+            select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.r, q.vec_id as query_id, p.vec_id, list_dot_product(q.v, p.v)::bigint as score from v q join v p on q.r <> p.r where q.vec_id % 20 = 0
+        )
+        select query_id, (row_number() over (partition by r order by score desc, vec_id))::int as rank, vec_id, score from s
+        qualify row_number() over (partition by r order by score desc, vec_id) <= 20
+    """,
     "op13_source_divergence": f"""
         with d as (
             select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
