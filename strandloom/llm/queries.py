@@ -12,7 +12,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embed_classifier, linededup, packing, pagetext, quality_rules, sharding, simhash, topk, toxicity, warc
+from . import decontaminate, divergence, embed_classifier, linededup, merkle, packing, pagetext, quality_rules, sharding, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -76,13 +80,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_main_text, op3_simhash, op4_quality_rules, op5_quality_classifier, op6_warc, op7_toxicity, op8_line_dedup, op9_sharding, op10_decontamination,
-        op12_exact_topk, op13_source_divergence,
+        op11_merkle_manifest, op12_exact_topk, op13_source_divergence,
     )
 } | {"pipeline": corpus_pipeline.run}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _manifest_sql(leaf_levels: int = 14, source_levels: int = 8) -> str:
+    """The levels of both trees one after another (3^14 rows a source, 3^8 sources), then each leaf folded through them."""
+    part = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    crc = """case when doc_id is null then 0 else xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end))) end"""
+    steps = [
+        f"d as (select doc_id, dense_rank() over (order by source nulls first) - 1 as tree, {leaf('text')} as leaf, {leaf('now')} as now from (select *, case when {crc} % 2 = 0 then replace(text, chr(10), '') else text end as now from documents))",
+        "t0 as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n, leaf as h from d)",
+        "p0 as (select doc_id, leaf, tree, i, now as f, '' as proof from t0)",
+    ]
+
+    def level(t: str, p: str, k: int, up: str) -> None:
+        steps.append(f"{t}{k + 1} as materialized (select tree, i // 3 as i, max((n + 2) // 3) as n, case when max(n) = 1 then max(h) else sha256(string_agg(h, '' order by i)) end as h from {t}{k} group by tree, i // 3)")
+        near = lambda f, j: f"coalesce({f}(h, {j}) over run, '')"
+        steps.append(f"{t}s{k} as materialized (select tree, i, n, {near('lag', 2)} || {near('lag', 1)} as l, {near('lead', 1)} || {near('lead', 2)} as r from {t}{k} window run as (partition by tree, i // 3 order by i))")
+        steps.append(f"{p}{k + 1} as (select doc_id, leaf, {up}p.tree, p.i // 3 as i, case when n = 1 then f else sha256(l || f || r) end as f, proof || l || r as proof from {p}{k} p join {t}s{k} s on p.tree = s.tree and p.i = s.i)")
+
+    for k in range(leaf_levels):
+        level("t", "p", k, "")
+    steps.append(f"u0 as materialized (select 0 as tree, tree as i, count(*) over () as n, h from t{leaf_levels})")
+    steps.append(f"q0 as (select p.doc_id, p.leaf, t.h as subroot, 0 as tree, p.tree as i, p.f, p.proof from p{leaf_levels} p join t{leaf_levels} t on p.tree = t.tree)")
+    for k in range(source_levels):
+        level("u", "q", k, "subroot, ")
+    return f"with {', '.join(steps)} select doc_id, leaf, subroot, u.h as root, sha256(proof) as proof_sha256, f as folded_root, f = u.h as verified from q{source_levels} q join u{source_levels} u on q.i = u.i"
+
+
 ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": _manifest_sql(),
     "op6_warc": """
         with p as (
             select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as h from pages
