@@ -113,7 +113,7 @@ def search_block(q: dict, p: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.n
         if len(scores) > k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             candidates, scores = candidates[scores >= least], scores[scores >= least]
-            best = np.lexsort((rows[candidates], ids[candidates], -scores))[:k]
+            best = np.lexsort((rows[candidates], ids[candidates], ~scores))[:k]  # ~ and not -, which would overflow
             candidates, scores = candidates[best], scores[best]
         parts.append((np.full(len(scores), at), candidates, scores))
 

@@ -222,7 +222,9 @@ def _unpack(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(patterns: DataFrame, k: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """Sum over all patterns of ``of(votes, counts)``, an array of ``size``; each task sends one array."""
+    """Sum over all patterns of ``of(votes, counts)``, an array of ``size``.
+
+    All partitions work at once, and their arrays are added up in tasks before the driver gets the last few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -232,10 +234,8 @@ def _summed(patterns: DataFrame, k: int, of: Callable[[np.ndarray, np.ndarray],
                 total += of(*_unpack(part, k)).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    out = np.zeros(size)
-    for (raw,) in patterns.mapInArrow(run, "total binary").toLocalIterator():
-        out += np.frombuffer(raw)
-    return out
+    arrays = patterns.mapInArrow(run, "total binary").rdd.map(lambda row: np.frombuffer(row[0]))
+    return np.zeros(size) + arrays.treeReduce(np.add, 2)
 
 
 def fit_label_model(summed: Callable[[Callable, int], np.ndarray], found: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.ndarray] | None:
@@ -290,7 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_
     """Voters and the weights of the linear classifier, bias first. Without labels of both kinds hits alone count."""
     sample = labelled_sample(labels, label, held_out, max_rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = stored(texts.join(F.broadcast(sample), "doc_id").select("label", "text"), "labelled")  # the texts of max_rows labelled documents
+    rows = texts.join(F.broadcast(sample), "doc_id")
+    # rows that repeat an id do not widen the sample: one text of each of at most max_rows labelled rows
+    rows = stored(rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text"), "labelled")
     voters = discover_voters(rows)
     drop_stored(rows)
 
@@ -339,8 +341,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Only the text enters a score; labels come from rows outside the held-out fold. Without labels only the lexicon
-    votes. Null and empty texts have no hits. Null ids count as the empty text for the fold; repeated rows score alike;
-    an empty table gives no rows; other columns are ignored."""
+    votes. Null and empty texts have no hits. Null ids count as the empty text for the fold; of the texts that share a labelled
+    id one is learned from; repeated rows score alike; an empty table gives no rows; other columns are ignored."""
     held = crc32_of_id(F.col("doc_id")) % folds == fold
     model = train(docs, labels, label, held, max_rows)
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -168,6 +168,13 @@ def _header(head: bytes, name: str) -> str | None:
     return found[1] if found else None
 
 
+def page_number(text: str | None) -> int | None:
+    """The page_id that a header names: any long; None for what is no whole number or lies beyond the longs."""
+    if text is None or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    return n if -(1 << 63) <= (n := int(text)) < 1 << 63 else None
+
+
 def record_id(url: str, date: str, digest: str, page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {page_id}')}>"
 
@@ -192,7 +199,7 @@ def arc_records(spark: SparkSession, path: str, with_content: bool) -> DataFrame
                     kind = warc_kind(r["content"])
                     head, payload = _parts(kind, r["content"])
                     page = _header(head, "X-Page-Id")
-                    rows.append((file, n, kind, int(page) if page and re.fullmatch(r"-?\d{1,18}", page) else None, r["url"], r["ip"], r["type"], warc_date(r["date"]), len(payload), sha1_base32(payload), *([r["content"]] if with_content else [])))
+                    rows.append((file, n, kind, page_number(page), r["url"], r["ip"], r["type"], warc_date(r["date"]), len(payload), sha1_base32(payload), *([r["content"]] if with_content else [])))
                     held += len(payload)
                     if held > 4 << 20:
                         yield flush(rows)
@@ -294,7 +301,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                     size = int(h["x-payload-length"]) if kind == "revisit" else len(payload)
                     if h["warc-block-digest"] != f"sha1:{sha1_base32(block)}" or kind != "revisit" and sha1_base32(payload) != digest or kind == "revisit" and payload:
                         raise ValueError(f"the record does not agree with its digests: {h}")
-                    rows.append((kind, h["warc-record-id"], int(page) if page and re.fullmatch(r"-?\d{1,18}", page) else None, h["warc-target-uri"], h["warc-date"], size, digest, h.get("warc-refers-to"), None if to is None else int(to), *([payload] if with_payload else [])))
+                    rows.append((kind, h["warc-record-id"], page_number(page), h["warc-target-uri"], h["warc-date"], size, digest, h.get("warc-refers-to"), page_number(to), *([payload] if with_payload else [])))
                     held += len(payload) if with_payload else 200
                     if held > 4 << 20:
                         yield flush(rows)
@@ -308,7 +315,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 def archive_pages(pages: DataFrame, folder: str | None = None, revisit_from: int = 0) -> DataFrame:
     """Pages through legacy ARC files and the converter to WARC files under ``folder``, read back by ``read_warc``.
 
-    Null html and null urls are empty ("-" in the archives); a null page_id stays null and comes last. Of repeated
+    Null html and null urls are empty ("-" in the archives); page_ids are any longs, and a null one stays null and comes last. Of repeated
     rows one is the response. An empty table gives no rows. Columns besides page_id, url and html are ignored."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/strandloom/archives-{uuid.uuid4().hex}"

@@ -113,7 +113,7 @@ def test_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got = QUERIES[name](spark, sf_dir)
     want = con.execute(ORACLE[name])

@@ -169,3 +169,35 @@ def test_empty_benchmark(docs, benchmark):
     assert decontaminate.clean_documents(docs, benchmark.limit(0)).count() == len(TEXTS)
 
 
+
+
+def test_page_ids_over_all_longs(spark):
+    top = (1 << 63) - 1
+    pages = spark.createDataFrame([(9 * 10**18, "http://a/", "x"), (9 * 10**18 + 1, "http://a/", "x"), (-top - 1, "http://a/", "y"), (top, "u", "z"), (None, "u", "x")], "page_id long, url string, html string")
+    out = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect()}
+    assert out == {9 * 10**18: ("response", None), 9 * 10**18 + 1: ("revisit", 9 * 10**18), -top - 1: ("response", None), top: ("response", None), None: ("revisit", 9 * 10**18)}
+    assert [warc.page_number(t) for t in (str(top + 1), "1x", "", None, "-7")] == [None, None, None, None, -7]
+
+
+def test_toxicity_learns_one_text_of_a_repeated_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "discover_voters", lambda rows: seen.append(rows.count()) or tuple((w, 1) for w in toxicity.LEXICON))
+    docs = spark.createDataFrame([(d, t) for d in range(1, 9) for t in (f"text {d}", "an idiot" if d % 2 else "kind", "more")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(1, 9)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, "toxic", F.lit(False))
+    assert seen == [8]
+
+
+def test_one_round_of_fitting_is_one_job_whatever_the_partitions(spark):
+    import numpy as np
+
+    k = 3
+    rows = [(bytes(np.packbits(np.array([i & 1, i >> 1 & 1, i >> 2 & 1], np.uint8))), i, 2 * i, 1) for i in range(8)]
+    patterns = spark.createDataFrame(rows, "pattern binary, n long, clean long, toxic long").repartition(16)
+    sc = spark.sparkContext
+    sc.setJobGroup("summed", "")
+    got = toxicity._summed(patterns, k, lambda v, n: v.T.astype(float) @ n, 9).reshape(3, 3)
+    assert len(sc.statusTracker().getJobIdsForGroup("summed")) <= 3
+    sc.setJobGroup("other", "")
+    bits = np.array([[i & 1, i >> 1 & 1, i >> 2 & 1] for i in range(8)], float)
+    assert (got == bits.T @ np.array([[i, 2 * i, 1] for i in range(8)], float)).all()

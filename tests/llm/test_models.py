@@ -175,6 +175,15 @@ def test_long_repeats_are_covered_as_chains(spark):
     ('<form action="x"><div><h1>T</h1><p>' + "long body " * 20 + "</p></div></form>", None),
     ('<form><article><p>' + "long body " * 20 + "</p></article></form>", ("long body " * 20).strip()),
     ('<article><header><h1>Title</h1></header><p>body text</p></article>', "Title\nbody text"),
+    ('<body><div class="layout has-sidebar"><article><p>body text</p></article><div class="sidebar">side</div></div></body>', "body text"),
+    ('<div class="no-sidebar"><article>body text</article></div>', "body text"),
+    ('<div id="page" class="with-banner"><main>body text</main></div>', "body text"),
+    ('<div class="sidebar-layout"><nav>menu</nav><article>body text</article></div>', "body text"),
+    ('<article><div class="article-header"><h1>Title</h1></div><p>body text</p></article>', "Title\nbody text"),
+    ('<article><p>body text</p><p class="notice-board">the board met</p></article>', "body text\nthe board met"),
+    ('<article><p>body text</p><div class="ad-slot">buy</div><section class="user-comments">mine</section></article>', "body text"),
+    ('<main><p>the body of it</p></main><div class="related-posts"><article>other</article></div>', "the body of it"),
+    ('<div class="site-header">head</div><article>body text</article><div id="siteFooter">foot</div>', "body text"),
     ('<header>site</header><article><p>body text</p></article>', "body text"),
     ('<article><p>the body of it</p></article><article class="comment"><p>great</p></article>', "the body of it"),
     ('<main><p>the body of it and more</p><article class="teaser"><p>other</p></article></main>', "the body of it and more"),
