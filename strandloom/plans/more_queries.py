@@ -14,7 +14,7 @@ from ..operators import bonds as C
 from ..operators import catalog, geometry, lookup, surface
 from ..sources.store import kept, shared_folder
 from ..sources.structures import fetch_structures, lines
-from .queries import _BONDS, _POINTS, _RAYS, _SEGMENTS, _VOXELS, _voxels, over, query, scene
+from .queries import _BONDS, _ENDS, _POINTS, _RAYS, _SEGMENTS, _VOXELS, _voxels, over, query, scene
 from .scene import Scene, derived_lines
 
 
@@ -214,8 +214,8 @@ def hovered_ids(spark, sf_dir):
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query(over(_BONDS) + """select 'atom' as kind, structure_id, atom_idx as a, null::int as b from f where residue_idx in (1, 4)
-    union all select 'bond', x.structure_id, x.a, x.b from bonds x where exists (select 1 from f where f.structure_id = x.structure_id and f.atom_idx in (x.a, x.b) and f.residue_idx in (1, 4))""".replace("exists (select 1 from f where f.structure_id = x.structure_id and f.atom_idx in (x.a, x.b) and f.residue_idx in (1, 4))", "(x.structure_id, x.a) in (select (structure_id, atom_idx) from f where residue_idx in (1, 4)) or (x.structure_id, x.b) in (select (structure_id, atom_idx) from f where residue_idx in (1, 4))"))
+@query(over(_ENDS) + """select 'atom' as kind, structure_id, atom_idx as a, null::int as b from f where residue_idx in (1, 4)
+    union all select 'bond', structure_id, a, b from ends where residue_idx_a in (1, 4) or residue_idx_b in (1, 4)""")
 def hover_overlay(spark, sf_dir):
     s = scene(spark, sf_dir)
     hover = s.residues.filter("residue_idx in (1, 4)").select("structure_id", F.col("residue_idx").alias("id"))
@@ -233,14 +233,14 @@ def atom_spheres(spark, sf_dir):
     return s.select("structure_id", "atom_idx", "x", "y", "z", F.round("scale", 6).alias("scale"), *[F.round(F.col("colour")[n], 6).alias(c) for n, c in enumerate(("red", "green", "blue"))])
 
 
-@query(over(_BONDS) + f"select x.structure_id, a, b, v as vertex, round({_RGB}[ln][1] / 255, 6)::double as red, round({_RGB}[ln][2] / 255, 6)::double as green, round({_RGB}[ln][3] / 255, 6)::double as blue from (select *, unnest([0, 1]) as v, unnest([a, b]) as e from bonds) x join f on f.structure_id = x.structure_id and f.atom_idx = e")
+@query(over(_ENDS) + " union all ".join(f"select structure_id, a, b, {v} as vertex, round({_RGB}[ln_{e}][1] / 255, 6)::double as red, round({_RGB}[ln_{e}][2] / 255, 6)::double as green, round({_RGB}[ln_{e}][3] / 255, 6)::double as blue from ends" for v, e in enumerate("ab")))
 def bond_line_colours(spark, sf_dir):
     s = scene(spark, sf_dir)
     return geometry.bond_lines(s.bonds, s.atoms).select("structure_id", "a", "b", "vertex", *[F.round(F.col("colour")[n], 6).alias(c) for n, c in enumerate(("red", "green", "blue"))])
 
 
-@query(over(_BONDS) + """, e as (
-        select x.structure_id, x.a, x.b, q.x - p.x as dx, q.y - p.y as dy, q.z - p.z as dz from bonds x join f p on p.structure_id = x.structure_id and p.atom_idx = x.a join f q on q.structure_id = x.structure_id and q.atom_idx = x.b
+@query(over(_ENDS) + """, e as (
+        select structure_id, a, b, x_b - x_a as dx, y_b - y_a as dy, z_b - z_a as dz from ends
     ), u as (select *, sqrt(dx * dx + dy * dy + dz * dz) as n from e), w as (select *, dx / n as ux, dy / n as uy, dz / n as uz from u where n > 1e-6)
     select structure_id, a, b, round(case when n <= 1e-6 then 0 when uy < -1 + 1e-15 then 0 else uz / sqrt(ux * ux + uz * uz + (1 + uy) * (1 + uy)) end, 6) + 0.0 as qx,
         round(case when n <= 1e-6 then 0 when uy < -1 + 1e-15 then 1 else -ux / sqrt(ux * ux + uz * uz + (1 + uy) * (1 + uy)) end, 6) + 0.0 as qz,
@@ -279,12 +279,11 @@ _CELLS = """, net as (
 )"""
 
 
-@query(over(_VOXELS, _CELLS) + """, planes as (select * from (values ('xz', 1, 0, 1), ('yz', 0, 1, 1), ('xy', 1, 1, 0)) v(plane, pi, pj, pk))
-    select n.structure_id, plane, n.i::int as qi, n.j::int as qj, n.k::int as qk from net n cross join planes
-    where (structure_id, n.i - case when plane = 'yz' then 0 else 1 end, n.j - case when plane = 'yz' then 1 else 0 end, n.k) in (select (structure_id, i, j, k) from net)
-        and (structure_id, n.i - pi, n.j - pj, n.k - pk) in (select (structure_id, i, j, k) from net)
-        and (structure_id, n.i, n.j - case when plane = 'xy' then 1 else 0 end, n.k - case when plane = 'xy' then 0 else 1 end) in (select (structure_id, i, j, k) from net)
-        and (plane <> 'xy' or n.k > 0)""")
+@query(over(_VOXELS, _CELLS) + """, corner as (
+        select * from (values ('xz', 0, 0, 0), ('xz', 1, 0, 0), ('xz', 1, 0, 1), ('xz', 0, 0, 1), ('yz', 0, 0, 0), ('yz', 0, 1, 0), ('yz', 0, 1, 1), ('yz', 0, 0, 1), ('xy', 0, 0, 0), ('xy', 1, 0, 0), ('xy', 1, 1, 0), ('xy', 0, 1, 0)) v(plane, a, b, c)
+    )
+    select structure_id, plane, qi, qj, qk from (select structure_id, plane, (i + a)::int as qi, (j + b)::int as qj, (k + c)::int as qk from net, corner)
+    group by all having count(*) = 4 and (plane <> 'xy' or qk > 0)""")
 def surface_net_quads(spark, sf_dir):
     voxels, grid = _voxels(spark, sf_dir)
     return surface.net_quads(surface.net_vertices(voxels, grid)).select("structure_id", "plane", "qi", "qj", "qk")
@@ -293,8 +292,10 @@ def surface_net_quads(spark, sf_dir):
 @query(over(_VOXELS, _CELLS) + """, e as (select unnest([(0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3), (4, 6), (5, 7), (0, 4), (1, 5), (2, 6), (3, 7)]) as e),
         mid as (select structure_id, i, j, k, e[1] as u, e[2] as v from net, e where list_contains(m, e[1]) <> list_contains(m, e[2])),
         vert as (select structure_id, i, j, k, i + avg((u % 2 + v % 2) / 2) as x, j + avg(((u // 2) % 2 + (v // 2) % 2) / 2) as y, k + avg((u // 4 + v // 4) / 2) as z from mid group by structure_id, i, j, k)
-    select t.structure_id, t.i::int as i, t.j::int as j, t.k::int as k, coalesce((best % 1000000)::bigint, 0) as atom_idx
-    from vert t left join vox on vox.structure_id = t.structure_id and vox.i = floor(t.x + 0.5) and vox.j = floor(t.y + 0.5) and vox.k = floor(t.z + 0.5)""")
+    , met as (
+        select structure_id, floor(x + 0.5)::int as vi, floor(y + 0.5)::int as vj, floor(z + 0.5)::int as vk, i, j, k, null::bigint as best from vert union all select structure_id, i, j, k, null, null, null, best::bigint from vox
+    ), owned as (select *, max(best) over (partition by structure_id, vi, vj, vk) as owner from met)
+    select structure_id, i::int as i, j::int as j, k::int as k, coalesce(owner % 1000000, 0)::bigint as atom_idx from owned where i is not null""")
 def surface_vertex_owners(spark, sf_dir):
     voxels, grid = _voxels(spark, sf_dir)
     return surface.vertex_owners(surface.net_vertices(voxels, grid), voxels, grid).select("structure_id", "i", "j", "k", "atom_idx")

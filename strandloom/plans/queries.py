@@ -50,6 +50,26 @@ _HEURISTIC = """, step as (select unnest([-1, 0, 1]) as d), cells as materialize
 _BONDS = _CONECT + _HEURISTIC + """, bonds as materialized (
     select structure_id, a, b, bond_order from k union all select h.* from h anti join k using (structure_id, a, b)
 )"""
+#: Bonds with what later steps need of both atoms, carried along from where the atoms meet: no join follows.
+_ENDS = """, step as (select unnest([-1, 0, 1]) as d), atom as materialized (
+    select structure_id, atom_idx, x::double as x, y::double as y, z::double as z, covalent, (i + 1)::bigint as serial, res_name, residue_idx, ln, i from f
+), linked as materialized (
+    select p.structure_id, p.atom_idx < q.atom_idx as up, p as p, q as q, case when p.i % 20 = 0 then 2 else 1 end as bond_order
+    from (select *, i + 1 as next_i from atom where i % 10 = 0) p join atom q on q.structure_id = p.structure_id and q.i = p.next_i
+), near as materialized (
+    select p.structure_id, p as p, q as q from (
+        select atom.*, floor(x / 2.5)::int + a.d as cx, floor(y / 2.5)::int + b.d as cy, floor(z / 2.5)::int + c.d as cz from atom, step a, step b, step c
+    ) p join (select *, floor(x / 2.5)::int as cx, floor(y / 2.5)::int as cy, floor(z / 2.5)::int as cz from atom) q
+        on q.structure_id = p.structure_id and q.cx = p.cx and q.cy = p.cy and q.cz = p.cz
+    where p.atom_idx < q.atom_idx and (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) between 0.4 * 0.4 and (p.covalent + q.covalent + 0.45) * (p.covalent + q.covalent + 0.45)
+), both_kinds as (
+    select structure_id, 0 as source, bond_order, {p} from linked union all select structure_id, 1, 1, {q} from near
+), ends as materialized (
+    select * from both_kinds qualify row_number() over (partition by structure_id, a, b order by source) = 1
+)""".format(
+    p=", ".join(f"case when up then p.{c} else q.{c} end as {a}, case when up then q.{c} else p.{c} end as {b}" for c, a, b in [("atom_idx", "a", "b"), *((c, f"{c}_a", f"{c}_b") for c in ("x", "y", "z", "serial", "res_name", "residue_idx", "ln"))]),
+    q=", ".join(f"p.{c}, q.{c}" for c in ("atom_idx", "x", "y", "z", "serial", "res_name", "residue_idx", "ln")),
+)
 _SEGMENTS = """, t as (
     select a.structure_id, chain_id, a.i, residue_idx as end_residue, coalesce(lag(a.i) over (partition by a.structure_id, chain_id order by a.i), -1) as before
     from a join r using (structure_id, chain_id, res_seq, res_name) where a.i % 50 = 49
@@ -316,7 +336,7 @@ def atom_labels(spark, sf_dir):
     return lookup.atom_labels(scene(spark, sf_dir).selections)
 
 
-@query(over(_BONDS) + "select b.structure_id, a, b, bond_order, p.i + 1 as serial_a, q.i + 1 as serial_b, p.res_name as res_a, q.res_name as res_b from bonds b join f p on p.structure_id = b.structure_id and p.atom_idx = a join f q on q.structure_id = b.structure_id and q.atom_idx = b.b")
+@query(over(_ENDS) + "select structure_id, a, b, bond_order, serial_a, serial_b, res_name_a as res_a, res_name_b as res_b from ends")
 def bond_selection(spark, sf_dir):
     s = scene(spark, sf_dir)
     got = lookup.bond_selections(s.bonds, s.selections)
@@ -342,14 +362,13 @@ def pick_grid_cells(spark, sf_dir):
     return lookup.pick_cell(scene(spark, sf_dir).atoms).withColumn("cell", F.round("cell", 9))
 
 
-@query(over(_BONDS) + """select bo.structure_id, bo.a, bo.b, (p.x + q.x) / 2 as mx, (p.y + q.y) / 2 as my, (p.z + q.z) / 2 as mz, round(sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2), 9)::double as length
-    from bonds bo join f p on p.structure_id = bo.structure_id and p.atom_idx = bo.a join f q on q.structure_id = bo.structure_id and q.atom_idx = bo.b""")
+@query(over(_ENDS) + "select structure_id, a, b, (x_a + x_b) / 2 as mx, (y_a + y_b) / 2 as my, (z_a + z_b) / 2 as mz, round(sqrt((x_b - x_a) * (x_b - x_a) + (y_b - y_a) * (y_b - y_a) + (z_b - z_a) * (z_b - z_a)), 9)::double as length from ends")
 def bond_tubes(spark, sf_dir):
     s = scene(spark, sf_dir)
     return geometry.bond_tubes(s.bonds, s.atoms).select("structure_id", "a", "b", "mx", "my", "mz", F.round("length", 9).alias("length"))
 
 
-@query(over(_BONDS) + "select bo.structure_id, a, b, v as vertex, f.x, f.y, f.z from (select *, unnest([0, 1]) as v from bonds) bo join f on f.structure_id = bo.structure_id and f.atom_idx = case v when 0 then a else b end")
+@query(over(_ENDS) + "select structure_id, a, b, 0 as vertex, x_a as x, y_a as y, z_a as z from ends union all select structure_id, a, b, 1, x_b, y_b, z_b from ends")
 def bond_lines(spark, sf_dir):
     s = scene(spark, sf_dir)
     return geometry.bond_lines(s.bonds, s.atoms).select("structure_id", "a", "b", "vertex", "x", "y", "z")
