@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.elements import covalent_radius, element_code, element_rgb, vdw_radius
 from ..functions.fields import float32, uint32
+from .scan import number
 
 RESIDUE_KEY = ["chain_id", "res_seq", "icode", "res_name"]
 
 
 def _dense(df: DataFrame, order: str, name: str) -> DataFrame:
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy("structure_id").orderBy(order)) - 1).cast("int"))
+    return number(df, ["structure_id"], order, name)
 
 
 def chain_dictionary(raw: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import number, running
+
 
 def ter_segments(raw: DataFrame, residues: DataFrame, chains: DataFrame, ters: DataFrame, segments: str = "closed") -> DataFrame:
     """structure_id, chain_idx, start_residue, end_residue, ter_line of residue runs that TER records close.
@@ -19,12 +21,11 @@ def ter_segments(raw: DataFrame, residues: DataFrame, chains: DataFrame, ters: D
     if segments == "all":
         ends = atoms.groupBy("structure_id", "chain_idx").agg((F.max("line_no") + 1_000_000_000).alias("line_no"))
         events = events.unionByName(ends.select("structure_id", "line_no", "chain_idx", F.lit(None).cast("int").alias("residue_idx"), F.lit(None).cast("int").alias("new_residue"), F.lit(1).alias("ter")))
-    file = Window.partitionBy("structure_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_chain = F.last(F.when(F.col("ter") == 0, F.col("chain_idx")), ignorenulls=True).over(file)
-    events = events.withColumn("chain_idx", F.when(F.col("ter") == 2, last_chain).otherwise(F.col("chain_idx"))).filter("chain_idx is not null")
-    chain = Window.partitionBy("structure_id", "chain_idx").orderBy("line_no")
-    before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    events = events.withColumn("run", F.coalesce(F.sum((F.col("ter") > 0).cast("int")).over(before), F.lit(0))).withColumn("last_residue", F.last("residue_idx", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    events = running(events, ["structure_id"], "line_no", {"last_chain": ("last", F.when(F.col("ter") == 0, F.col("chain_idx")))})
+    events = events.withColumn("chain_idx", F.when(F.col("ter") == 2, F.col("last_chain")).otherwise(F.col("chain_idx"))).filter("chain_idx is not null")
+    chain = ["structure_id", "chain_idx"]
+    events = running(events, chain, "line_no", {"closings": ("sum", (F.col("ter") > 0).cast("int")), "last_residue": ("last", F.col("residue_idx"))})
+    events = events.withColumn("run", F.col("closings") - (F.col("ter") > 0).cast("int"))
     closed = events.groupBy("structure_id", "chain_idx", "run").agg(F.min("new_residue").alias("start_residue"), F.max(F.when(F.col("ter") > 0, F.col("line_no"))).alias("ter_line"), F.max(F.when(F.col("ter") > 0, F.col("last_residue"))).alias("end_residue"))
     return closed.filter("ter_line is not null and start_residue <= end_residue").select("structure_id", "chain_idx", "start_residue", "end_residue", "ter_line")
 
@@ -50,22 +51,26 @@ def representatives(atoms: DataFrame, rule: str = "observed") -> DataFrame:
 def backbone_points(segments: DataFrame, reps: DataFrame, atoms: DataFrame) -> DataFrame:
     """structure_id, point, segment, residue_idx, atom_idx, x, y, z; points of segments below two points have a null
     segment_start. Segments follow each other in the order of their TER records."""
-    order = Window.partitionBy("structure_id").orderBy("ter_line", "chain_idx")
+    order = Window.partitionBy("structure_id").orderBy("ter_line", "chain_idx")  # a row a segment
     numbered = segments.withColumn("segment", (F.row_number().over(order) - 1).cast("int"))
     residues = numbered.select("structure_id", "segment", F.explode(F.sequence("start_residue", "end_residue")).alias("residue_idx"))
     points = residues.join(reps, ["structure_id", "residue_idx"]).join(atoms.select("structure_id", "atom_idx", "x", "y", "z"), ["structure_id", "atom_idx"])
-    w = Window.partitionBy("structure_id").orderBy("segment", "residue_idx")
-    seg = Window.partitionBy("structure_id", "segment")
-    points = points.withColumn("point", (F.row_number().over(w) - 1).cast("int"))
-    size = F.count("*").over(seg)
-    return points.withColumn("segment_start", F.when(size >= 2, F.min("point").over(seg))).withColumn("segment_end", F.when(size >= 2, F.max("point").over(seg) + 1))
+    points = number(points, ["structure_id", "segment"], "residue_idx", "place")
+    sizes = points.groupBy("structure_id", "segment").agg(F.count("*").cast("int").alias("size"))
+    before = Window.partitionBy("structure_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    points = points.join(sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")), ["structure_id", "segment"])
+    long = F.col("size") >= 2
+    return points.select(
+        "structure_id", "atom_idx", "residue_idx", "segment", "x", "y", "z", (F.col("start") + F.col("place")).alias("point"),
+        F.when(long, F.col("start")).alias("segment_start"), F.when(long, F.col("start") + F.col("size")).alias("segment_end"),
+    )
 
 
 def backbone_pairs(points: DataFrame) -> DataFrame:
     """Consecutive points of a segment: structure_id, segment, point, next_point and their positions."""
-    w = Window.partitionBy("structure_id", "segment").orderBy("point")
-    after = [F.lead(c).over(w).alias(f"next_{c}") for c in ("point", "x", "y", "z")]
-    return points.filter("segment_start is not null").select("structure_id", "segment", "point", "x", "y", "z", *after).filter("next_point is not null")
+    known = points.filter("segment_start is not null")
+    after = known.select("structure_id", "segment", (F.col("point") - 1).alias("point"), *[F.col(c).alias(f"next_{c}") for c in ("point", "x", "y", "z")])
+    return known.select("structure_id", "segment", "point", "x", "y", "z").join(after, ["structure_id", "segment", "point"])
 
 
 def secondary_spans(secondary: DataFrame, residues: DataFrame, chains: DataFrame) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import drop, kept
 from .atoms import single
 
 # Grid cell, slack over the covalent radii, least distance (angstrom).
 CELL, SLACK, NEAREST = 2.5, 0.45, 0.4
+CELL_KEY = ["structure_id", "cx", "cy", "cz"]
+#: A cell of more atoms is cut, at most so many times: 2.5 / 2 ^ 4 is 0.16, the diagonal 0.27.
+CROWD, DEPTH = 512, 4
 POLICIES = ("conect-only", "heuristic-if-missing", "conect+heuristic")
 
 
@@ -37,18 +41,123 @@ def grid_cells(atoms: DataFrame, cell: float = CELL) -> DataFrame:
     return atoms.select("structure_id", "atom_idx", *[single(c).alias(c) for c in "xyz"], single("covalent").alias("r"), *[F.floor(single(c) / cell).alias(f"c{c}") for c in "xyz"])
 
 
-def heuristic_bonds(atoms: DataFrame) -> DataFrame:
+def _bonded(p: str, q: str) -> Column:
+    """Whether atoms in structs ``p`` and ``q`` (x, y, z, r) stand at a bonding distance."""
+    d2 = sum(((F.col(f"{p}.{c}") - F.col(f"{q}.{c}")) * (F.col(f"{p}.{c}") - F.col(f"{q}.{c}")) for c in "xyz"), F.lit(0.0))
+    reach = F.col(f"{p}.r") + F.col(f"{q}.r") + SLACK
+    return (d2 >= NEAREST * NEAREST) & (d2 <= reach * reach)
+
+
+def _pair(p: str, q: str) -> list[Column]:
+    i, j = F.col(f"{p}.atom_idx"), F.col(f"{q}.atom_idx")
+    return [F.least(i, j).alias("a"), F.greatest(i, j).alias("b"), F.lit(1).alias("bond_order")]
+
+
+def heuristic_bonds(atoms: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Atom pairs in the same or touching cells at a bonding distance, order 1. An equi-join on structure and cell over
-    14 forward offsets, so each pair meets once and no distance predicate is left to a nested loop."""
-    left = grid_cells(atoms)
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in forward_offsets()])
-    right = left.select("structure_id", F.col("atom_idx").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyzr"], "cx", "cy", "cz", F.explode(offsets).alias("o"))
+    14 forward offsets, so each pair meets once and no distance predicate is left to a nested loop. Cells of more than ``crowd``
+    atoms and what touches them are cut into smaller ones first (``crowded_bonds``)."""
+    placed = grid_cells(atoms)
+    crowded = kept(placed.groupBy(*CELL_KEY).agg(F.count("*").alias("n")).filter(F.col("n") > crowd), "crowded")
+    if crowded.isEmpty():
+        return _cell_bonds(placed)
+    rest = _cell_bonds(placed.join(crowded.select(*CELL_KEY), CELL_KEY, "left_anti"))
+    return rest.unionByName(crowded_bonds(placed, crowded.select(*CELL_KEY), crowd))
+
+
+def _cell_bonds(placed: DataFrame) -> DataFrame:
+    left = placed.select(*CELL_KEY, F.struct("atom_idx", "x", "y", "z", "r").alias("p"))
+    right = left.select("structure_id", "cx", "cy", "cz", F.col("p").alias("q"), F.explode(_offsets(forward_offsets())).alias("o"))
     same = (F.col("o.dx") == 0) & (F.col("o.dy") == 0) & (F.col("o.dz") == 0)
-    right = right.select("structure_id", "j", "x2", "y2", "z2", "r2", *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"], same.alias("same"))
-    d2 = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0))
-    reach = F.col("r") + F.col("r2") + SLACK
-    pairs = left.join(right, ["structure_id", "cx", "cy", "cz"]).filter((~F.col("same") | (F.col("atom_idx") < F.col("j"))) & (d2 >= NEAREST * NEAREST) & (d2 <= reach * reach))
-    return pairs.select("structure_id", F.least("atom_idx", "j").alias("a"), F.greatest("atom_idx", "j").alias("b"), F.lit(1).alias("bond_order"))
+    right = right.select("structure_id", "q", *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"], same.alias("same"))
+    pairs = left.join(right, CELL_KEY).filter((~F.col("same") | (F.col("p.atom_idx") < F.col("q.atom_idx"))) & _bonded("p", "q"))
+    return pairs.select("structure_id", *_pair("p", "q"))
+
+
+def _offsets(offsets: list[tuple[int, int, int]]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in offsets])
+
+
+def tree_nodes(placed: DataFrame) -> DataFrame:
+    """Atoms once for each depth: cell, depth, code (of the part of the cell in Morton order) and the code of the part above,
+    with the part's place ux, uy, uz among 2 ^ depth along each axis."""
+    fine = 1 << DEPTH
+    for c in "xyz":
+        placed = placed.withColumn(f"s{c}", F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor((F.col(c) / CELL - F.col(f"c{c}")) * fine).cast("int"))))
+    each = placed.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in range(DEPTH + 1)])))
+    for c in "xyz":
+        each = each.withColumn(f"u{c}", F.floor(F.col(f"s{c}") / F.pow(F.lit(2), DEPTH - F.col("depth"))).cast("int"))
+    bit = lambda c, k: F.floor(F.col(f"u{c}") / (1 << k)).cast("int") % 2
+    code = sum((bit(c, k) * (1 << (3 * k + n)) for k in range(DEPTH) for n, c in enumerate("zyx")), F.lit(0))
+    return each.withColumn("code", code.cast("int")).withColumn("above", F.floor(F.col("code") / 8).cast("int"))
+
+
+def _apart(p: str, q: str) -> tuple[Column, Column]:
+    """Squared least and greatest distance of the boxes of nodes ``p`` and ``q``."""
+    least, most = F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        low = {n: (F.col(f"{n}.c{c}") + F.col(f"{n}.u{c}") / F.pow(F.lit(2.0), F.col(f"{n}.depth"))) * CELL for n in (p, q)}
+        size = {n: CELL / F.pow(F.lit(2.0), F.col(f"{n}.depth")) for n in (p, q)}
+        gap = F.greatest(F.lit(0.0), low[q] - low[p] - size[p], low[p] - low[q] - size[q])
+        span = F.greatest(low[q] + size[q] - low[p], low[p] + size[p] - low[q])
+        least, most = least + gap * gap, most + span * span
+    return least, most
+
+
+def crowded_bonds(placed: DataFrame, crowded: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """The bonds of ``heuristic_bonds`` with an atom in one of the ``crowded`` cells.
+
+    Cells are roots of trees: a part with more than ``crowd`` atoms is cut in eight, up to ``DEPTH`` times. Pairs of touching
+    roots are followed downwards together, a level a round, and a pair of parts is given up where their boxes are too far apart
+    to bond or too close to (parts of the last depth are smaller than the least bonding distance, so atoms that stand in one
+    place cost nothing). Atoms meet only in pairs of leaves, cut in chunks of at most about ``crowd``."""
+    ring = [o for o in product((-1, 0, 1), repeat=3)]
+    near = crowded.select("structure_id", "cx", "cy", "cz", F.explode(_offsets(ring)).alias("o"))
+    near = near.select("structure_id", *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"]).distinct()
+    each = tree_nodes(placed.join(near, CELL_KEY, "left_semi"))
+    nodes = each.groupBy(*CELL_KEY, "depth", "code", "above", "ux", "uy", "uz").agg(F.count("*").alias("n"), F.max("r").alias("r"))
+    nodes = kept(nodes.withColumn("leaf", (F.col("n") <= crowd) | (F.col("depth") == DEPTH)), "nodes")
+    facts = F.struct("cx", "cy", "cz", "depth", "code", "ux", "uy", "uz", "n", "r", "leaf")
+
+    def useful(pairs: DataFrame) -> DataFrame:
+        least, most = _apart("p", "q")
+        reach = F.col("p.r") + F.col("q.r") + SLACK + 1e-6
+        return pairs.filter((least <= reach * reach) & (most >= NEAREST * NEAREST * (1 - 1e-9)))
+
+    roots = nodes.filter("depth = 0").join(crowded.withColumn("crowded", F.lit(True)), CELL_KEY, "left").select(*CELL_KEY, facts.alias("p"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    others = roots.select(*CELL_KEY, F.col("p").alias("q"), F.col("crowded").alias("q_crowded"), F.explode(_offsets(forward_offsets())).alias("o"))
+    others = others.select("structure_id", "q", "q_crowded", *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"])
+    pairs = kept(useful(roots.join(others, CELL_KEY).filter("crowded or q_crowded").select("structure_id", "p", "q")), "pairs")
+    children = nodes.filter("depth > 0").select(F.col("structure_id").alias("of"), *[F.col(f"c{c}").alias(f"of_c{c}") for c in "xyz"], (F.col("depth") - 1).alias("of_depth"), F.col("above").alias("of_code"), facts.alias("child"))
+    for _ in range(DEPTH):
+        below = pairs
+        for n in "pq":
+            parent = (F.col("structure_id") == F.col("of")) & (F.col(f"{n}.depth") == F.col("of_depth")) & (F.col(f"{n}.code") == F.col("of_code"))
+            for c in "xyz":
+                parent &= F.col(f"{n}.c{c}") == F.col(f"of_c{c}")
+            cut = below.join(children, parent & ~F.col(f"{n}.leaf"), "left")
+            below = cut.withColumn(f"new_{n}", F.coalesce("child", n)).drop(*children.columns)
+        # one part cut against itself: its parts meet each other once, and themselves
+        itself = F.col("p") == F.col("q")
+        once = ~itself | F.col("p.leaf") | (F.col("new_p.code") <= F.col("new_q.code"))
+        below = kept(useful(below.filter(once).select("structure_id", F.col("new_p").alias("p"), F.col("new_q").alias("q"))), "pairs")
+        drop(pairs)
+        pairs = below
+    chunks = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"{n}.n") / crowd) - 1)
+    met = pairs.withColumn("itself", F.col("p") == F.col("q")).withColumn("p_chunk", F.explode(chunks("p"))).withColumn("q_chunk", F.explode(chunks("q")))
+    met = met.filter("not itself or p_chunk <= q_chunk")
+    home = each.join(nodes.filter("leaf").select(*CELL_KEY, "depth", "code", "n"), [*CELL_KEY, "depth", "code"])
+    home = home.withColumn("place", F.row_number().over(Window.partitionBy("structure_id", "atom_idx").orderBy("depth"))).filter("place = 1")  # the first leaf from the root
+    home = home.withColumn("chunk", F.pmod(F.col("atom_idx"), F.ceil(F.col("n") / crowd)))
+    home = kept(home.select(*CELL_KEY, "depth", "code", "chunk", F.struct("atom_idx", "x", "y", "z", "r").alias("atom")), "leaves")
+    for n in "pq":
+        of = home.select(F.col("structure_id").alias("of"), *[F.col(c).alias(f"of_{c}") for c in ("cx", "cy", "cz", "depth", "code", "chunk")], F.col("atom").alias(f"{n}_atom"))
+        on = (F.col("structure_id") == F.col("of")) & (F.col(f"{n}_chunk") == F.col("of_chunk"))
+        for c in ("cx", "cy", "cz", "depth", "code"):
+            on &= F.col(f"{n}.{c}") == F.col(f"of_{c}")
+        met = met.join(of, on).drop(*[c for c in of.columns if c.startswith("of")])
+    met = met.filter(~F.col("itself") | (F.col("p_chunk") < F.col("q_chunk")) | (F.col("p_atom.atom_idx") < F.col("q_atom.atom_idx")))
+    return met.filter(_bonded("p_atom", "q_atom")).select("structure_id", *_pair("p_atom", "q_atom"))
 
 
 def bonds(conect: DataFrame, atoms: DataFrame, policy: str = "conect+heuristic") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elements import infer_symbol
 from ..functions.fields import cut, number, prefix_integer
+from .scan import running
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -17,19 +18,18 @@ def records(lines: DataFrame) -> DataFrame:
 def with_model(lines: DataFrame, model: int | None = None) -> DataFrame:
     """Records with the model they stand in (null outside) and ``accepted``: before any MODEL record, or inside the
     selected model. The selection is ``model``, or the number of the structure's first MODEL record."""
-    w = Window.partitionBy("structure_id").orderBy("line_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_rows = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     recs = records(lines)
     is_model = F.col("record") == "MODEL"
-    recs = recs.withColumn("model_count", F.sum(is_model.cast("int")).over(upto))
-    num = F.when(is_model, F.coalesce(prefix_integer(cut(F.col("line"), 10, 14)), F.col("model_count").cast("int")))
+    named = prefix_integer(cut(F.col("line"), 10, 14))
     # a state per MODEL or ENDMDL record; a struct keeps "left the model" apart from "no such record"
-    state = F.when(is_model | (F.col("record") == "ENDMDL"), F.struct(num.alias("number")))
-    recs = recs.withColumn("state", F.last(state, ignorenulls=True).over(upto)).withColumn("model", F.col("state.number"))
-    chosen = F.lit(model) if model is not None else F.first(num, ignorenulls=True).over(all_rows)
+    state = F.when(is_model | (F.col("record") == "ENDMDL"), F.struct(is_model.alias("inside"), F.when(is_model, named).alias("named")))
+    first = F.when(is_model, F.struct(named.alias("named")))
+    recs = running(recs, ["structure_id"], "line_no", {"model_count": ("sum", is_model.cast("int")), "state": ("last", state)}, {"first_model": ("first", first)})
+    # a MODEL record without number counts as its place among them, and nothing has changed that count since
+    recs = recs.withColumn("model", F.when(F.col("state.inside"), F.coalesce("state.named", F.col("model_count").cast("int"))))
+    chosen = F.lit(model) if model is not None else F.when(F.col("first_model").isNotNull(), F.coalesce("first_model.named", F.lit(1)))
     recs = recs.withColumn("selected", chosen)
-    return recs.withColumn("accepted", (F.col("model_count") == 0) | F.coalesce(F.col("model") == F.col("selected"), F.lit(False))).drop("state")
+    return recs.withColumn("accepted", (F.col("model_count") == 0) | F.coalesce(F.col("model") == F.col("selected"), F.lit(False))).drop("state", "first_model")
 
 
 def atoms_raw(recs: DataFrame) -> DataFrame:

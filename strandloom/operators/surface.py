@@ -1,7 +1,8 @@
 """Molecular surfaces over voxel grids: filling, boundary, distance, surface nets.
 
-Grids stay sparse: a row for each voxel inside. Filling, boundary, vertices and faces are joins and aggregations;
-only the distance wavefront of the solvent-excluded surface depends on its own order and runs a structure at a time.
+Grids stay sparse: a row for each voxel inside. Filling, boundary, vertices and faces are joins and aggregations. The
+distance wave of the solvent-excluded surface depends on the order in which voxels are visited; it runs shell by shell over the
+voxels of all structures, and each offer carries its place in that order.
 """
 
 from __future__ import annotations
@@ -9,10 +10,10 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import drop, kept
 from .atoms import single
 
 PROBE, DEFAULT_SCALE, MARGIN, LARGE_VOLUME = 1.4, 2, 5.5, 1_000_000
@@ -78,45 +79,73 @@ def boundary(voxels: DataFrame, grid: DataFrame) -> DataFrame:
     return counts.filter(F.col("full") < span("i", "nx") * span("j", "ny") * span("k", "nz") - 1).select("structure_id", "i", "j", "k")
 
 
-def distance_wave(inside: np.ndarray, bound: np.ndarray, cut: float) -> dict[tuple[int, int, int], int]:
-    """Squared distance to the carried boundary point for the voxels that the wavefront reaches within 1.0404 cut squared."""
-    full = {tuple(v) for v in inside.tolist()}
-    dist = {tuple(v): 0 for v in bound.tolist()}
-    point = {v: v for v in dist}
-    shell = sorted(dist)
-    while shell:
-        out, queued = [], set()
-        for v in shell:
-            p = point[v]
-            for step in WAVE_ORDER:
-                n = (v[0] + step[0], v[1] + step[1], v[2] + step[2])
-                if n not in full:
-                    continue
-                d = (n[0] - p[0]) ** 2 + (n[1] - p[1]) ** 2 + (n[2] - p[2]) ** 2
-                if n not in dist or d < dist[n]:
-                    fresh = n not in dist
-                    dist[n], point[n] = d, p
-                    if fresh or n not in queued:
-                        queued.add(n)
-                        out.append(n)
-        shell = [v for v in out if dist[v] <= 1.0404 * cut * cut]
-    return dist
+_CELL = ["structure_id", "i", "j", "k"]
+
+
+def _steps(frontier: DataFrame) -> DataFrame:
+    """What each voxel of the frontier offers its 26 neighbours: their place, the squared distance to its own boundary
+    point p, and the offer's rank (the voxel's own rank, then the number of the step)."""
+    steps = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for n, (a, b, c) in enumerate(WAVE_ORDER)])
+    offers = frontier.select("structure_id", "rank", "p", *[F.col(v).alias(f"from_{v}") for v in "ijk"], F.explode(steps).alias("s"))
+    for v, o in zip("ijk", "abc", strict=True):
+        offers = offers.withColumn(v, F.col(f"from_{v}") + F.col(f"s.{o}"))
+    d = sum(((F.col(v) - F.col("p")[v]) * (F.col(v) - F.col("p")[v]) for v in "ijk"), F.lit(0))
+    return offers.select(*_CELL, d.alias("d"), "rank", F.col("s.n").alias("n"), "p")
+
+
+def _settled(frontier: DataFrame) -> DataFrame:
+    """The frontier with the boundary points that its voxels carry when their turn comes.
+
+    In a shell, voxels take their turns by rank, and an earlier one may bring a later one a nearer point before that one's
+    turn. Such influence only goes up the ranks, so rounds in which all voxels of the shell offer what they carry to the later
+    ones end in the one state that turns in order lead to; there are as many rounds as such influences follow each other."""
+    start = frontier
+    while True:
+        target = start.select(*_CELL, F.col("rank").alias("own"), F.col("d").alias("own_d"))
+        offers = _steps(frontier).join(target, _CELL).filter("rank < own and d < own_d")
+        best = offers.groupBy(*_CELL).agg(F.min(F.struct("d", "rank", "n", "p")).alias("best"))
+        new = kept(start.join(best, _CELL, "left").withColumn("p", F.coalesce("best.p", "p")).drop("best"), "shell")
+        steady = new.select(*_CELL, "p").join(frontier.select(*_CELL, F.col("p").alias("before")), _CELL).filter("p <> before").isEmpty()
+        if frontier is not start:
+            drop(frontier)
+        frontier = new
+        if steady:
+            return frontier
+
+
+def distance_wave(voxels: DataFrame, bound: DataFrame, cuts: DataFrame) -> DataFrame:
+    """structure_id, i, j, k, d, p: the squared distance of each voxel that the wave reaches to the boundary point p it carries.
+
+    The wave starts from the boundary voxels in order of place. Shell by shell, each voxel in turn offers its point to its 26
+    neighbours in ``WAVE_ORDER``; a neighbour takes it if it has none yet or a farther one, and joins the next shell, whose
+    order is that of first taking; a voxel farther than 1.0404 times the squared ``cut`` of its structure (``cuts``:
+    structure_id, cut) offers nothing. The outcome depends on that order, so an offer's rank goes with it: of the nearest offers
+    the first one holds. A shell is a few joins over all structures and one stored table; the cut bounds the shells."""
+    place = [F.col(v) for v in "ijk"]
+    wave = kept(bound.select(*_CELL, F.lit(0).alias("d"), F.struct(*place).alias("p"), F.array(*place).alias("rank")), "wave")
+    limits = cuts.select("structure_id", (F.col("cut") * F.col("cut") * 1.0404).alias("most"))
+    reached = kept(wave.drop("rank"), "reached")
+    first = True
+    while not wave.isEmpty():
+        settled = wave if first else _settled(wave)  # the boundary itself cannot come nearer
+        known = reached.select(*_CELL, F.col("d").alias("known"))
+        offers = _steps(settled).join(voxels.select(*_CELL), _CELL, "left_semi").join(known, _CELL, "left").filter("known is null or d < known")
+        taken = offers.groupBy(*_CELL).agg(F.min(F.struct("d", "rank", "n", "p")).alias("best"), F.min(F.struct("rank", "n")).alias("first"))
+        taken = kept(taken.select(*_CELL, "best.d", "best.p", F.concat("first.rank", F.array("first.n")).alias("rank")), "taken")
+        after = kept(reached.join(taken.select(*_CELL), _CELL, "left_anti").unionByName(taken.drop("rank")), "reached")
+        following = kept(taken.join(limits, "structure_id").filter("d <= most").select(wave.columns), "wave")
+        drop(reached, taken, wave, *([settled] if settled is not wave else []))
+        wave, reached, first = following, after, False
+    drop(wave)
+    return reached
 
 
 def ses_solid(voxels: DataFrame, bound: DataFrame, grid: DataFrame, probe: float = PROBE) -> DataFrame:
-    """Voxels of the inflated solid that stay when the probe is rolled off: those the wavefront does not reach, or
-    reaches at the cut-off distance or beyond. A structure's voxels are one group, as the wavefront needs them all."""
-
-    def carve(rows: pd.DataFrame) -> pd.DataFrame:
-        cells, scale = rows[["i", "j", "k"]].to_numpy(), float(rows["scale"].iloc[0])
-        cut = probe * scale
-        dist = distance_wave(cells, cells[rows["bound"].notna()], cut)
-        limit = cut * cut - 0.5 / (0.1 + max(0.0, scale - 0.5))
-        keep = [dist.get(t, np.inf) >= limit for t in map(tuple, cells.tolist())]
-        return rows.loc[keep, ["structure_id", "i", "j", "k", "atom_idx", "d2"]]
-
-    flagged = voxels.join(bound.withColumn("bound", F.lit(True)), ["structure_id", "i", "j", "k"], "left").join(grid.select("structure_id", "scale"), "structure_id")
-    return flagged.groupBy("structure_id").applyInPandas(carve, voxels.select("structure_id", "i", "j", "k", "atom_idx", "d2").schema)
+    """Voxels of the inflated solid that stay when the probe is rolled off: those the wave does not reach, or reaches at the
+    cut-off distance or beyond."""
+    cuts = grid.select("structure_id", (F.col("scale") * probe).alias("cut"), F.greatest(F.lit(0.0), F.col("scale") - 0.5).alias("over"))
+    near = distance_wave(voxels, bound, cuts).join(cuts, "structure_id").filter(F.col("d") < F.col("cut") * F.col("cut") - 0.5 / (0.1 + F.col("over")))
+    return voxels.join(near.select(*_CELL), _CELL, "left_anti").select(*_CELL, "atom_idx", "d2")
 
 
 def net_vertices(solid: DataFrame, grid: DataFrame) -> DataFrame:
@@ -206,7 +235,7 @@ def surface(atoms: DataFrame, kind: str = "vdw", probe: float = PROBE, voxel: fl
         raise ValueError(f"unknown surface: {kind}")
     atoms = surface_input(atoms)
     grid = grids(atoms, kind, probe, voxel)
-    voxels = fill(atoms, grid, kind, probe)
+    voxels = kept(fill(atoms, grid, kind, probe), "voxels")  # read by each of the steps below
     solid = ses_solid(voxels, boundary(voxels, grid), grid, probe) if kind == "ses" else voxels
     vertices = net_vertices(solid, grid)
     faces = triangles(net_quads(vertices), voxels)

@@ -110,26 +110,6 @@ def test_catalog(spark):
     assert catalog.top_up(universe, universe.limit(990)).count() == 10
 
 
-def test_wave_carries_distances_to_boundary_points():
-    """Each distance is that to some boundary point and none is below the exact one; nothing within the cut is missed."""
-    import numpy as np
-
-    rng = np.random.default_rng(4)
-    for _ in range(5):
-        centres = rng.integers(0, 14, (3, 3))
-        cells = np.array([(i, j, k) for i in range(-6, 20) for j in range(-6, 20) for k in range(-6, 20) if min(((centres - (i, j, k)) ** 2).sum(axis=1)) <= 20])
-        full = set(map(tuple, cells.tolist()))
-        bound = np.array([c for c in cells.tolist() if any((c[0] + a, c[1] + b, c[2] + d) not in full for a, b, d in surface.NEIGHBOURS)])
-        cut = 2.8
-        found = surface.distance_wave(cells, bound, cut)
-        for c in cells.tolist():
-            each = ((bound - c) ** 2).sum(axis=1)
-            if (got := found.get(tuple(c))) is None:
-                assert each.min() > cut * cut
-            else:
-                assert got >= each.min() and got in each
-
-
 def test_downloads_are_repeated_and_resumed(spark):
     from strandloom.operators import catalog
 
