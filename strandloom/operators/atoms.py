@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.elements import covalent_radius, element_code, element_rgb, vdw_radius
 from ..functions.fields import float32, uint32
+from ..sources.store import kept
 from .scan import number
 
 RESIDUE_KEY = ["chain_id", "res_seq", "icode", "res_name"]
 
 
 def _dense(df: DataFrame, order: str, name: str) -> DataFrame:
-    return number(df, ["structure_id"], order, name)
+    return number(kept(df, name), ["structure_id"], order, name)  # stored, as a scan reads its rows twice
 
 
 def chain_dictionary(raw: DataFrame) -> DataFrame:
@@ -38,8 +39,8 @@ def resolve_sites(raw: DataFrame, policy: str = "occupancy") -> DataFrame:
         raise ValueError(f"unknown policy: {policy}")
     site = Window.partitionBy("structure_id", *RESIDUE_KEY, "name")
     best = site.orderBy(F.desc(F.coalesce("occupancy", F.lit(1.0))), "line_no")
-    kept = raw.withColumn("site_line", F.min("line_no").over(site)).withColumn("place", F.row_number().over(best)).filter("place = 1")
-    return _dense(kept, "site_line", "atom_idx").drop("place", "site_line")
+    best_rows = raw.withColumn("site_line", F.min("line_no").over(site)).withColumn("place", F.row_number().over(best)).filter("place = 1")
+    return _dense(best_rows, "site_line", "atom_idx").drop("place", "site_line")
 
 
 def site_warnings(raw: DataFrame) -> DataFrame:

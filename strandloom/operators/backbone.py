@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import kept
 from .scan import number, running
 
 
@@ -21,10 +22,10 @@ def ter_segments(raw: DataFrame, residues: DataFrame, chains: DataFrame, ters: D
     if segments == "all":
         ends = atoms.groupBy("structure_id", "chain_idx").agg((F.max("line_no") + 1_000_000_000).alias("line_no"))
         events = events.unionByName(ends.select("structure_id", "line_no", "chain_idx", F.lit(None).cast("int").alias("residue_idx"), F.lit(None).cast("int").alias("new_residue"), F.lit(1).alias("ter")))
-    events = running(events, ["structure_id"], "line_no", {"last_chain": ("last", F.when(F.col("ter") == 0, F.col("chain_idx")))})
+    events = running(kept(events, "events"), ["structure_id"], "line_no", {"last_chain": ("last", F.when(F.col("ter") == 0, F.col("chain_idx")))})
     events = events.withColumn("chain_idx", F.when(F.col("ter") == 2, F.col("last_chain")).otherwise(F.col("chain_idx"))).filter("chain_idx is not null")
     chain = ["structure_id", "chain_idx"]
-    events = running(events, chain, "line_no", {"closings": ("sum", (F.col("ter") > 0).cast("int")), "last_residue": ("last", F.col("residue_idx"))})
+    events = running(kept(events, "events"), chain, "line_no", {"closings": ("sum", (F.col("ter") > 0).cast("int")), "last_residue": ("last", F.col("residue_idx"))})
     events = events.withColumn("run", F.col("closings") - (F.col("ter") > 0).cast("int"))
     closed = events.groupBy("structure_id", "chain_idx", "run").agg(F.min("new_residue").alias("start_residue"), F.max(F.when(F.col("ter") > 0, F.col("line_no"))).alias("ter_line"), F.max(F.when(F.col("ter") > 0, F.col("last_residue"))).alias("end_residue"))
     return closed.filter("ter_line is not null and start_residue <= end_residue").select("structure_id", "chain_idx", "start_residue", "end_residue", "ter_line")
@@ -55,7 +56,7 @@ def backbone_points(segments: DataFrame, reps: DataFrame, atoms: DataFrame) -> D
     numbered = segments.withColumn("segment", (F.row_number().over(order) - 1).cast("int"))
     residues = numbered.select("structure_id", "segment", F.explode(F.sequence("start_residue", "end_residue")).alias("residue_idx"))
     points = residues.join(reps, ["structure_id", "residue_idx"]).join(atoms.select("structure_id", "atom_idx", "x", "y", "z"), ["structure_id", "atom_idx"])
-    points = number(points, ["structure_id", "segment"], "residue_idx", "place")
+    points = number(kept(points, "points"), ["structure_id", "segment"], "residue_idx", "place")
     sizes = points.groupBy("structure_id", "segment").agg(F.count("*").cast("int").alias("size"))
     before = Window.partitionBy("structure_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     points = points.join(sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")), ["structure_id", "segment"])

@@ -27,7 +27,8 @@ def running(rows: DataFrame, keys: list[str], order: str, values: dict[str, tupl
     """``rows`` with the running ``values`` along ``order`` (a whole number) within ``keys``, and ``whole`` ones of all rows of
     the keys. A value is (kind, column), where kind is sum, min, max, last or first; the last two pass over nulls.
 
-    The current row counts if ``inclusive``. Rows of equal order are in no order among themselves."""
+    The current row counts if ``inclusive``. Rows of equal order are in no order among themselves. ``rows`` are read twice, once
+    for the summaries."""
     own = rows.withColumn("__block", F.floor(F.col(order) / (block or BLOCK)))
     for n, (_, v) in (values | (whole or {})).items():
         own = own.withColumn(f"__{n}", v)

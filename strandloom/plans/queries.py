@@ -117,8 +117,21 @@ def over(*ctes: str) -> str:
     return "with " + _BASE + "".join(ctes) + " "
 
 
+#: Scenes that a session keeps, the latest last; the tables of those beyond are deleted.
+_SCENES: dict[tuple, Scene] = {}
+MOST_SCENES = 8
+
+
 def scene(spark: SparkSession, sf_dir: str, **options) -> Scene:
-    return Scene(derived_lines(spark, sf_dir), **options)
+    """The scene of a folder's tables, made once a session: its queries share what is parsed and kept."""
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(options.items()))
+    if key not in _SCENES:
+        for k in [k for k in _SCENES if k[0] != key[0]]:
+            del _SCENES[k]  # of a session that has ended
+        if len(_SCENES) >= MOST_SCENES:
+            _SCENES.pop(next(iter(_SCENES))).release()
+        _SCENES[key] = Scene(derived_lines(spark, sf_dir), **options)
+    return _SCENES[key]
 
 
 def keep_two(s: Scene) -> DataFrame:

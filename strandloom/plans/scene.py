@@ -14,7 +14,7 @@ from ..operators import atoms as A
 from ..operators import backbone as B
 from ..operators import bonds as C
 from ..operators import lookup, parsing
-from ..sources.store import kept
+from ..sources.store import drop, kept
 from ..sources.structures import atom_line
 
 # Fixed values of the derived structures: name and element by line number 1 to 7, and secondary records.
@@ -64,27 +64,40 @@ def derived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Scene:
-    """Tables of parsed structures; give lines (structure_id, line_no, line). Accepted records and atoms, from which nearly
-    everything else is made, are kept once as Parquet when first asked for; all other tables are lazy."""
+    """Tables of parsed structures; give lines (structure_id, line_no, line). Those from which other tables are made are kept as
+    Parquet when they are first asked for, the others are lazy. ``release`` deletes what is kept."""
 
     def __init__(self, lines: DataFrame, alt_loc: str = "occupancy", model: int | None = None, policy: str = "conect+heuristic", backbone_rep: str = "observed", segments: str = "closed"):
         self.lines, self.alt_loc, self.model, self.policy, self.rep, self.segment_rule = lines, alt_loc, model, policy, backbone_rep, segments
+        self._kept: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame, label: str) -> DataFrame:
+        self._kept.append(kept(df, label))
+        return self._kept[-1]
+
+    def release(self) -> None:
+        """Delete the kept tables; no table of this scene can be read any more."""
+        drop(*self._kept)
+        self._kept.clear()
 
     @cached_property
     def records(self) -> DataFrame:
-        return parsing.with_model(self.lines, self.model)
+        lines = kept(self.lines, "lines")
+        records = self._keep(parsing.with_model(lines, self.model), "records")
+        drop(lines)
+        return records
 
     @cached_property
     def raw(self) -> DataFrame:
-        return kept(parsing.atoms_raw(self.records), "raw")
+        return self._keep(parsing.atoms_raw(self.records), "raw")
 
     @cached_property
     def chains(self) -> DataFrame:
-        return A.chain_dictionary(self.raw)
+        return self._keep(A.chain_dictionary(self.raw), "chains")
 
     @cached_property
     def residues(self) -> DataFrame:
-        return A.residue_dictionary(self.raw)
+        return self._keep(A.residue_dictionary(self.raw), "residues")
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -92,7 +105,7 @@ class Scene:
 
     @cached_property
     def atoms(self) -> DataFrame:
-        return kept(A.pack(self.sites, self.chains, self.residues), "atoms")
+        return self._keep(A.pack(self.sites, self.chains, self.residues), "atoms")
 
     @cached_property
     def conect(self) -> DataFrame:
@@ -100,20 +113,20 @@ class Scene:
 
     @cached_property
     def bonds(self) -> DataFrame:
-        return C.bonds(self.conect, self.atoms, self.policy)
+        return self._keep(C.bonds(self.conect, self.atoms, self.policy), "bonds")
 
     @cached_property
     def segments(self) -> DataFrame:
-        return B.ter_segments(self.raw, self.residues, self.chains, parsing.terminators(self.records), self.segment_rule)
+        return self._keep(B.ter_segments(self.raw, self.residues, self.chains, parsing.terminators(self.records), self.segment_rule), "segments")
 
     @cached_property
     def points(self) -> DataFrame:
         spans = self.segments.unionByName(B.fallback_segments(self.atoms, self.segments))
-        return B.backbone_points(spans, B.representatives(self.atoms, self.rep), self.atoms)
+        return self._keep(B.backbone_points(spans, B.representatives(self.atoms, self.rep), self.atoms), "points")
 
     @cached_property
     def spans(self) -> DataFrame:
-        return B.secondary_spans(parsing.secondary_records(self.records), self.residues, self.chains)
+        return self._keep(B.secondary_spans(parsing.secondary_records(self.records), self.residues, self.chains), "spans")
 
     @cached_property
     def selections(self) -> DataFrame:
