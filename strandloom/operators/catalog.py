@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.store import kept
 
+#: Ids on one line of an id file.
+IDS_A_LINE = 10_000
 EVENT = "event string, id string, path string, size_bytes long, status int, reason string, attempts int, elapsed_ms long, ord long"
 
 
@@ -32,8 +34,10 @@ def join_ids(ids: DataFrame) -> DataFrame:
 
 
 def write_ids(ids: DataFrame, path: str, append: bool = False) -> None:
-    """Id files below ``path`` of comma-joined ids, one line a source, valid for ``read_ids``; ``append`` adds files."""
-    join_ids(ids).select("text").write.mode("append" if append else "errorifexists").text(path)
+    """Id files below ``path`` of comma-joined ids, valid for ``read_ids``; ``append`` adds files. A line holds at most
+    ``IDS_A_LINE`` ids of one source, so a source of any size is written by many tasks."""
+    parts = ids.withColumn("source", F.struct("source", F.floor(F.col("ord") / IDS_A_LINE).alias("part")))
+    join_ids(parts).select("text").write.mode("append" if append else "errorifexists").text(path)
 
 
 def with_totals(answers: DataFrame) -> DataFrame:

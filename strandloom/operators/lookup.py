@@ -78,9 +78,10 @@ def visible_chains(flags: DataFrame) -> DataFrame:
 
 
 def hovered(atoms: DataFrame, picks: DataFrame, mode: str) -> DataFrame:
-    """picks (structure_id, atom_idx) to the hovered id of ``mode``: atom, residue or chain; unknown atoms give no row."""
+    """picks (structure_id, atom_idx) to the hovered id of ``mode``: atom, residue or chain; null for unknown atoms."""
     column = {"atom": "atom_idx", "residue": "residue_idx", "chain": "chain_idx"}[mode]
-    return picks.join(atoms, ["structure_id", "atom_idx"]).select("structure_id", "atom_idx", F.col(column).alias("id"))
+    known = atoms.select("structure_id", F.col("atom_idx"), F.struct(F.col(column).alias("id")).alias("found"))
+    return picks.join(known, ["structure_id", "atom_idx"], "left").select("structure_id", "atom_idx", F.col("found.id").alias("id"))
 
 
 def overlay(atoms: DataFrame, bonds: DataFrame, hover: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:

@@ -205,10 +205,10 @@ def visible_chains(spark, sf_dir):
     return shown.withColumn("chains", F.array_join(F.transform("chains", lambda c: c.cast("string")), ","))
 
 
-@query(over() + "select structure_id, atom_idx, 'residue' as mode, residue_idx as id from f where atom_idx % 7 = 0 union all select structure_id, atom_idx, 'chain', chain_idx from f where atom_idx % 7 = 0 union all select structure_id, atom_idx, 'atom', atom_idx from f where atom_idx % 7 = 0")
+@query(over() + "select structure_id, atom_idx, 'residue' as mode, residue_idx as id from f where atom_idx % 7 = 0 union all select structure_id, atom_idx, 'chain', chain_idx from f where atom_idx % 7 = 0 union all select structure_id, atom_idx, 'atom', atom_idx from f where atom_idx % 7 = 0 union all select structure_id, atom_idx + 10000000, unnest(['residue', 'chain', 'atom']), null from f where atom_idx % 7 = 0")
 def hovered_ids(spark, sf_dir):
     atoms = scene(spark, sf_dir).atoms
-    # numbers past the last atom are picks of nothing
+    # numbers past the last atom are picks of nothing and give null
     picks = atoms.filter("atom_idx % 7 = 0").select("structure_id", F.explode(F.array(F.col("atom_idx"), F.col("atom_idx") + 10_000_000)).alias("atom_idx"))
     each = [lookup.hovered(atoms, picks, mode).select("structure_id", "atom_idx", F.lit(mode).alias("mode"), "id") for mode in ("atom", "residue", "chain")]
     return each[0].unionByName(each[1]).unionByName(each[2])
@@ -336,15 +336,105 @@ def bond_warnings(spark, sf_dir):
     return C.bond_warnings(scene(spark, sf_dir).bonds)
 
 
-@query(over() + """, box as (
+_SAS = """, box as (
         select structure_id, floor(min(x - (vdw + 1.4)) - (5.5 + 1.4)) as lx, floor(min(y - (vdw + 1.4)) - (5.5 + 1.4)) as ly, floor(min(z - (vdw + 1.4)) - (5.5 + 1.4)) as lz from f group by 1
     ), ball as (
         select structure_id, atom_idx, floor(x - lx + 0.5)::int as ci, floor(y - ly + 0.5)::int as cj, floor(z - lz + 0.5)::int as ck, first(vdw + 1.4 + 0.5) over (partition by structure_id, floor(vdw + 1.4 + 0.5 + 0.5) order by atom_idx) as rad from f join box using (structure_id)
-    ), o as (select unnest(range(-5, 6))::int as d), oo as materialized (select p.d as di, q.d as dj, w.d as dk, p.d * p.d + q.d * q.d + w.d * w.d as d2 from o p, o q, o w)
-    select structure_id, i, j, k, (best % 1000000)::int as atom_idx, (best // 1000000)::int as d2 from (
-        select structure_id, ci + di as i, cj + dj as j, ck + dk as k, min(d2::bigint * 1000000 + atom_idx) as best from ball join oo on d2 <= rad * rad group by all
-    )""")
+    ), line as (select unnest(range(-5, 6))::int as d), o as (select unnest(range(0, 2))::int as d), oo as materialized (select p.d as di, q.d as dj, w.d as dk, p.d * p.d + q.d * q.d + w.d * w.d as d2 from line p, line q, line w),
+    vox as materialized (select structure_id, ci + di as i, cj + dj as j, ck + dk as k, min(d2::bigint * 1000000 + atom_idx) as best from ball join oo on d2 <= rad * rad group by all)"""
+#: On a grid of 1 the cut-off of a probe of 1.4 lies between 1 and 2 voxels: what stays are voxels that are no boundary (all 27 around
+#: them are full) and do not touch one by a face.
+_SES = _SAS + """, inner_x as (select * from vox qualify count(*) over (partition by structure_id, j, k order by i range between 1 preceding and 1 following) = 3),
+    inner_y as (select * from inner_x qualify count(*) over (partition by structure_id, i, k order by j range between 1 preceding and 1 following) = 3),
+    inner_z as (select * from inner_y qualify count(*) over (partition by structure_id, i, j order by k range between 1 preceding and 1 following) = 3),
+    solid as materialized (select * from inner_z qualify count(*) over (partition by structure_id, j, k order by i range between 1 preceding and 1 following) = 3
+        and count(*) over (partition by structure_id, i, k order by j range between 1 preceding and 1 following) = 3 and count(*) over (partition by structure_id, i, j order by k range between 1 preceding and 1 following) = 3)"""
+_EDGES = "e as (select unnest([(0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3), (4, 6), (5, 7), (0, 4), (1, 5), (2, 6), (3, 7)]) as e)"
+_VERTICES = _EDGES + """, mid as (select structure_id, i, j, k, e[1] as u, e[2] as v from net, e where list_contains(m, e[1]) <> list_contains(m, e[2])),
+    vert as materialized (select structure_id, i, j, k, i + avg((u % 2 + v % 2) / 2) as x, j + avg(((u // 2) % 2 + (v // 2) % 2) / 2) as y, k + avg((u // 4 + v // 4) / 2) as z from mid group by structure_id, i, j, k)"""
+
+
+@query(over(_SAS) + "select structure_id, i, j, k, (best % 1000000)::int as atom_idx, (best // 1000000)::int as d2 from vox")
 def sas_fill_owner(spark, sf_dir):
     """Voxels of the solvent-accessible solid with their owners."""
     atoms = surface.surface_input(scene(spark, sf_dir).atoms)
     return surface.fill(atoms, surface.grids(atoms, "sas", voxel=1.0), "sas")
+
+
+@query(over(_SES) + "select structure_id, i, j, k, (best % 1000000)::int as atom_idx, (best // 1000000)::int as d2 from solid")
+def ses_solid_voxels(spark, sf_dir):
+    """Voxels that stay when the probe is rolled off the solvent-accessible solid, with their owners."""
+    atoms = surface.surface_input(scene(spark, sf_dir).atoms)
+    grid = surface.grids(atoms, "ses", voxel=1.0)
+    voxels = kept(surface.fill(atoms, grid, "ses"), "voxels")
+    return surface.ses_solid(voxels, surface.boundary(voxels, grid), grid)
+
+
+@query(over(_SES, _CELLS.replace("from vox,", "from solid,")) + ", " + _VERTICES + """, met as (
+        select structure_id, floor(x + 0.5)::int as vi, floor(y + 0.5)::int as vj, floor(z + 0.5)::int as vk, i, j, k, x, y, z, null::bigint as best from vert union all select structure_id, i, j, k, null, null, null, null, null, null, best::bigint from vox
+    ), owned as (select *, max(best) over (partition by structure_id, vi, vj, vk) as owner from met)
+    select structure_id, i::int as i, j::int as j, k::int as k, round((x + lx)::float::double, 4) as x, round((y + ly)::float::double, 4) as y, round((z + lz)::float::double, 4) as z, coalesce(owner % 1000000, 4294967295)::bigint as atom_idx
+    from owned join box using (structure_id) where i is not null""")
+def ses_surface(spark, sf_dir):
+    """Vertices of the solvent-excluded surface in structure coordinates, with the atoms that own them."""
+    vertices, _ = surface.surface(scene(spark, sf_dir).atoms, "ses", voxel=1.0)
+    return vertices.select("structure_id", "i", "j", "k", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in "xyz"], "atom_idx")
+
+
+@query(over(_VOXELS, _CELLS) + ", " + _VERTICES + """, corner as (
+        select * from (values ('xz', 0, 0, 0, 0), ('xz', 1, 1, 0, 0), ('xz', 2, 1, 0, 1), ('xz', 3, 0, 0, 1), ('yz', 0, 0, 0, 0), ('yz', 1, 0, 1, 0), ('yz', 2, 0, 1, 1), ('yz', 3, 0, 0, 1), ('xy', 0, 0, 0, 0), ('xy', 1, 1, 0, 0), ('xy', 2, 1, 1, 0), ('xy', 3, 0, 1, 0)) v(plane, n, a, b, c)
+    ), quad as (
+        select structure_id, plane, (i + a)::int as qi, (j + b)::int as qj, (k + c)::int as qk, list([x, y, z] order by n) as v from vert, corner group by 1, 2, 3, 4, 5 having count(*) = 4 and (plane <> 'xy' or qk > 0)
+    ), half as (
+        select structure_id, plane, qi, qj, qk, h as half, list_transform(range(1, 4), lambda c: v[2 + h][c] - v[1][c]) as d, list_transform(range(1, 4), lambda c: v[3 + h][c] - v[1][c]) as g from (select *, unnest([0, 1]) as h from quad)
+    ), size as (select *, (d[2] * g[3] - d[3] * g[2]) ** 2 + (d[3] * g[1] - d[1] * g[3]) ** 2 + (d[1] * g[2] - d[2] * g[1]) ** 2 as n2 from half)
+    select structure_id, plane, qi, qj, qk, half, round(sqrt(n2) / 2, 4) as area from size where n2 > 1e-10""")
+def vdw_surface(spark, sf_dir):
+    """Triangles of the van der Waals surface with their areas, two a quad but for degenerate ones."""
+    _, faces = surface.surface(scene(spark, sf_dir).atoms, "vdw", voxel=1.0)
+    area = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")) / 2
+    return faces.select("structure_id", "plane", "qi", "qj", "qk", "half", F.round(area, 4).alias("area"))
+
+
+def _grid_sql(kind: str, inflate: float, stretch: int) -> str:
+    r = f"(vdw + {inflate})"
+    ends = ", ".join(f"min({c} * {stretch} - {r}) as lo_{c}, max({c} * {stretch} + {r}) as hi_{c}" for c in "xyz")
+    sizes = ", ".join(f"(ceil(scale * ((ceil((hi_{c} + pad) * scale) / scale) - (floor((lo_{c} - pad) * scale) / scale))) + 1)::int as n{c}" for c in "xyz")
+    return f"""select structure_id, '{kind}' as kind, {stretch} as stretch, scale, {sizes} from (
+        select *, 5.5 / scale + {inflate} as pad from (select *, case when (hi_x - lo_x) * (hi_y - lo_y) * (hi_z - lo_z) > 1000000 then 1.0 else 2.0 end::double as scale from (select structure_id, {ends} from f group by 1)))"""
+
+
+@query(over() + " union all ".join(_grid_sql(k, r, t) for k, r in (("vdw", 0.0), ("sas", 1.4)) for t in (1, 40)))
+def surface_grids(spark, sf_dir):
+    """Grids at the default scale, and of structures stretched until their volume takes half that scale."""
+    atoms = surface.surface_input(scene(spark, sf_dir).atoms)
+    each = []
+    for kind in ("vdw", "sas"):
+        for stretch in (1, 40):
+            far = atoms.select("structure_id", "atom_idx", *[(F.col(c) * stretch).alias(c) for c in "xyz"], "radius")
+            each.append(surface.grids(far, kind).select("structure_id", F.lit(kind).alias("kind"), F.lit(stretch).alias("stretch"), "scale", "nx", "ny", "nz"))
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+@query()
+def ribbon_flat(spark, sf_dir):
+    """Corners of the flat ribbons; tests hold them against frames turned one by one."""
+    s = scene(spark, sf_dir)
+    return geometry.flat_ribbons(s.points, s.atoms, B.residue_kinds(s.spans))
+
+
+@query(over(_POINTS) + ", z as (select structure_id, segment, greatest(8, 4 * count(*)) as last from p where size >= 2 group by 1, 2) select structure_id, segment, unnest(range(0, last))::int as sample, 16 as faces from z")
+def ribbon_tube(spark, sf_dir):
+    """Triangles between the rings of the tube along each backbone segment, counted by sample; rings have eight corners."""
+    s = scene(spark, sf_dir)
+    corners = geometry.tube_ribbons(s.points, s.atoms, B.residue_kinds(s.spans))
+    return geometry.ribbon_faces(corners, 8).groupBy("structure_id", "segment", "sample").agg(F.count("*").cast("int").alias("faces"))
+
+
+@query("select trim(t) as entry_id, count(*) as n from (select unnest(string_split(p_name, ',')) as t from part) where trim(t) <> '' group by 1")
+def ids_written(spark, sf_dir):
+    """Ids through id files: written in lines of one brand each, read back and split."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("entry_id"))
+    path = f"{shared_folder(spark)}/strandloom/ids-{uuid.uuid4().hex}"
+    catalog.write_ids(part, path)
+    return catalog.read_ids(spark, path).groupBy("entry_id").agg(F.count("*").alias("n"))

@@ -425,26 +425,6 @@ def surface_net_vertices(spark, sf_dir):
     return surface.net_vertices(voxels, grid).select("structure_id", "i", "j", "k", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query()
-def vdw_surface(spark, sf_dir):
-    """Faces and their area by structure, from the whole relational surface."""
-    _, faces = surface.surface(scene(spark, sf_dir).atoms, "vdw", voxel=1.0)
-    area = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")) / 2
-    return faces.groupBy("structure_id").agg(F.count("*").alias("n_faces"), F.round(F.sum(area), 3).alias("area"))
-
-
-@query()
-def ses_surface(spark, sf_dir):
-    vertices, _ = surface.surface(scene(spark, sf_dir).atoms, "ses", voxel=1.0)
-    return vertices.groupBy("structure_id").agg(F.count("*").alias("n_vertices"))
-
-
-@query()
-def ribbon_flat(spark, sf_dir):
-    s = scene(spark, sf_dir)
-    return geometry.flat_ribbons(s.points, s.atoms, B.residue_kinds(s.spans)).groupBy("structure_id", "segment").agg(F.count("*").alias("n_corners"))
-
-
 @query("select p_partkey as source, trim(t) as entry_id, count(*) as n from (select p_partkey, unnest(regexp_split_to_array(p_name || ', ' || p_brand || chr(10) || p_type || ',,' || p_brand, '[,\\n]')) as t from part) where trim(t) <> '' group by 1, 2")
 def ids_split(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
