@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.store import kept
 
+#: Hexadecimal digits that a round of selection looks at, and rows that its last bin may hold.
+DIGITS, EDGE_ROWS = 3, 4096
 #: Ids on one line of an id file.
 IDS_A_LINE = 10_000
 EVENT = "event string, id string, path string, size_bytes long, status int, reason string, attempts int, elapsed_ms long, ord long"
@@ -120,15 +122,42 @@ def sample_size(n: int, percent: float) -> int:
 
 
 def sample_order(column: str, seed: int) -> Column:
-    """Arithmetic order of a sample: the MD5 of seed and id."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")).cast("binary"))
+    """Arithmetic order of a sample: the MD5 of seed and id; no id counts as an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit(""))).cast("binary"))
+
+
+def first_in_order(rows: DataFrame, k: int, seed: int = 0, column: str = "entry_id") -> DataFrame:
+    """The first ``k`` of ``rows`` in ``sample_order`` (then by id), found without sorting them.
+
+    A histogram over the leading digits of the hash tells in which bin the k-th row lies; that bin is cut by the next digits,
+    until it holds at most ``EDGE_ROWS`` rows, which alone are put in order. What lies below the bin is taken by a filter. A
+    histogram has at most 16 ^ ``DIGITS`` rows, so each round is one aggregation of counts."""
+    if k <= 0:
+        return rows.limit(0)
+    hashed, prefix, need, n = rows.withColumn("hash", sample_order(column, seed)), "", k, 0
+    while not prefix or n > EDGE_ROWS and len(prefix) < 32:
+        inside = hashed.filter(F.col("hash").startswith(prefix))
+        bins = inside.groupBy(F.substring("hash", len(prefix) + 1, DIGITS).alias("digits")).count().collect()
+        if sum(r["count"] for r in bins) <= need:
+            return rows  # there are no more than k
+        for digits, n in sorted(map(tuple, bins)):
+            if n > need:
+                prefix += digits
+                break
+            need -= n
+    below = hashed.filter(F.substring("hash", 1, len(prefix)) < prefix)
+    edge = hashed.filter(F.col("hash").startswith(prefix))
+    if n <= EDGE_ROWS:
+        edge = edge.withColumn("rank", F.row_number().over(Window.orderBy("hash", column)) - 1)
+    else:  # one hash: rows that repeat an id
+        edge = ranked(edge, column)
+    return below.unionByName(edge.filter(F.col("rank") < need).drop("rank")).drop("hash")
 
 
 def sample(ids: DataFrame, percent: float, seed: int = 0, column: str = "entry_id") -> DataFrame:
     """A sample without replacement of the size that ``sample_size`` gives, the same for the same seed: the first rows in
-    ``sample_order``. Rows are ranked in ranges, so no task holds the sample."""
-    size = sample_size(ids.count(), percent)
-    return ranked(ids.withColumn("hash", sample_order(column, seed)), "hash", column).filter(F.col("rank") < size).drop("hash", "rank")
+    ``sample_order``."""
+    return first_in_order(ids, sample_size(ids.count(), percent), seed, column)
 
 
 def top_up(universe: DataFrame, attempted: DataFrame, column: str = "entry_id") -> DataFrame:
@@ -252,16 +281,15 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def fetch_exactly(universe: DataFrame, target: int, attempt: Callable[[DataFrame], DataFrame], column: str = "entry_id", seed: int = 0) -> DataFrame:
     """Attempts until ``target`` entries succeed or none are left; only counts reach the driver. ``attempt`` takes ids and
     returns stored events."""
-    tried = universe.limit(0).select(column)
+    pool = kept(universe.select(column).distinct(), "pool")
     events = None
     have = 0
     while have < target:
-        batch = top_up(universe.select(column).distinct(), tried, column).orderBy(sample_order(column, seed), column).limit(target - have)
-        got = attempt(batch)
+        left = pool if events is None else kept(top_up(pool, events.select(F.col("id").alias(column)), column), "pool")
+        got = attempt(first_in_order(left, target - have, seed, column))
         n = got.count()
         if not n:
             break
         events = got if events is None else events.unionByName(got)
-        tried = tried.unionByName(got.select(F.col("id").alias(column)))
         have += success_counts(got).first()["ok"]
     return events if events is not None else attempt(universe.limit(0).select(column))

@@ -132,3 +132,31 @@ def test_enumeration_stops_at_an_empty_page(spark):
     body = lambda start, n: json.dumps({"result_set": [] if start == 20 else [{"identifier": f"e{k}"} for k in range(start, start + n)]})
     assert [r["entry_id"] for r in catalog.enumerate_entries(spark, 35, body, 10).orderBy("page", "ord").collect()] == [f"e{k}" for k in range(20)]
     assert catalog.enumerate_entries(spark, 15, body, 10).count() == 15
+
+
+def test_selection_without_sorting(spark, monkeypatch):
+    """Every size, with bins cut to the last digit, repeated ids and none."""
+    import hashlib
+
+    from strandloom.operators import catalog
+
+    ids = [str(n) for n in range(400)] + ["7"] * 300 + [None, ""]
+    df = spark.createDataFrame([(i,) for i in ids], "entry_id string").repartition(4).cache()
+    order = sorted(ids, key=lambda i: (hashlib.md5(f"5:{i or ''}".encode()).hexdigest(), i is not None, i or ""))
+    for edge in (2, 50, 4096):
+        monkeypatch.setattr(catalog, "EDGE_ROWS", edge)
+        for k in (0, 1, 3, 150, 401, 702, 5000):
+            got = [r[0] for r in catalog.first_in_order(df, k, seed=5).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, order[:k])), (edge, k)
+
+
+def test_fetching_exactly_tops_up_and_ends(spark):
+    from strandloom.operators import catalog
+    from strandloom.sources.store import kept
+
+    universe = spark.createDataFrame([(str(n),) for n in range(100)] * 2, "entry_id string")
+    event = F.when(F.col("entry_id").cast("int") % 3 != 0, "download_ok").otherwise("download_error")
+    attempt = lambda ids: kept(ids.select(F.col("entry_id").alias("id"), event.alias("event")), "attempt")
+    events = catalog.fetch_exactly(universe, 40, attempt)
+    assert catalog.success_counts(events).first()["ok"] == 40 and events.select("id").distinct().count() == events.count()
+    assert catalog.success_counts(catalog.fetch_exactly(universe, 90, attempt)).first().asDict() == {"ok": 66, "failed": 34}
