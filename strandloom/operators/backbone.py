@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import kept
+from .intervals import reach, within
 from .scan import number, running
 
 
@@ -54,8 +55,8 @@ def backbone_points(segments: DataFrame, reps: DataFrame, atoms: DataFrame) -> D
     segment_start. Segments follow each other in the order of their TER records."""
     order = Window.partitionBy("structure_id").orderBy("ter_line", "chain_idx")  # a row a segment
     numbered = segments.withColumn("segment", (F.row_number().over(order) - 1).cast("int"))
-    residues = numbered.select("structure_id", "segment", F.explode(F.sequence("start_residue", "end_residue")).alias("residue_idx"))
-    points = residues.join(reps, ["structure_id", "residue_idx"]).join(atoms.select("structure_id", "atom_idx", "x", "y", "z"), ["structure_id", "atom_idx"])
+    met = within(reps, numbered, ["structure_id"], "residue_idx", "start_residue", "end_residue")
+    points = met.select("structure_id", "segment", "residue_idx", "atom_idx").join(atoms.select("structure_id", "atom_idx", "x", "y", "z"), ["structure_id", "atom_idx"])
     points = number(kept(points, "points"), ["structure_id", "segment"], "residue_idx", "place")
     sizes = points.groupBy("structure_id", "segment").agg(F.count("*").cast("int").alias("size"))
     before = Window.partitionBy("structure_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,9 +80,9 @@ def secondary_spans(secondary: DataFrame, residues: DataFrame, chains: DataFrame
 
     The start is the chain's first residue numbered at or above the record's start, the end its last one numbered at
     or below the record's end, wherever they stand; spans with end below start are left out."""
-    of_chain = residues.join(chains, ["structure_id", "chain_id"]).select("structure_id", "chain_id", "chain_idx", "residue_idx", "res_seq")
-    met = secondary.join(of_chain, ["structure_id", "chain_id"])
-    spans = met.groupBy("structure_id", "kind", "line_no", "chain_idx").agg(F.min(F.when(F.col("res_seq") >= F.col("start_seq"), F.col("residue_idx"))).alias("start_residue"), F.max(F.when(F.col("res_seq") <= F.col("end_seq"), F.col("residue_idx"))).alias("end_residue"))
+    of_chain = residues.join(chains, ["structure_id", "chain_id"]).select("structure_id", "chain_idx", "residue_idx", "res_seq")
+    met = reach(of_chain, secondary.join(chains, ["structure_id", "chain_id"]), ["structure_id", "chain_idx"], "res_seq", "start_seq", "end_seq", "residue_idx")
+    spans = met.withColumnsRenamed({"first": "start_residue", "last": "end_residue"})
     spans = spans.filter("start_residue <= end_residue")
     w = Window.partitionBy("structure_id").orderBy("kind", "line_no")
     return spans.select("structure_id", (F.row_number().over(w) - 1).cast("int").alias("span"), "kind", "chain_idx", "start_residue", "end_residue")

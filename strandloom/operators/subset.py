@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import reach
+
 
 def _renumber(rows: DataFrame, old: str) -> DataFrame:
     w = Window.partitionBy("structure_id").orderBy(old)
@@ -65,5 +67,5 @@ def filtered_backbone(points: DataFrame, residues: DataFrame) -> DataFrame:
 
 def subset_spans(spans: DataFrame, residues: DataFrame) -> DataFrame:
     """Secondary spans shrunk to the kept residues inside them; spans without any are left out."""
-    each = spans.withColumn("residue_idx", F.explode(F.sequence("start_residue", "end_residue"))).join(residues.select("structure_id", "residue_idx").distinct(), ["structure_id", "residue_idx"], "left_semi")
-    return each.groupBy("structure_id", "span", "kind").agg(F.min("residue_idx").alias("start_residue"), F.max("residue_idx").alias("end_residue"))
+    met = reach(residues.select("structure_id", "residue_idx"), spans, ["structure_id"], "residue_idx", "start_residue", "end_residue", "residue_idx")
+    return met.filter("first <= last").select("structure_id", "span", "kind", F.col("first").alias("start_residue"), F.col("last").alias("end_residue"))

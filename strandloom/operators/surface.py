@@ -1,6 +1,7 @@
 """Molecular surfaces over voxel grids: filling, boundary, distance, surface nets.
 
-Grids stay sparse: a row for each voxel inside. Filling, boundary, vertices and faces are joins and aggregations. The
+Grids stay sparse: solids are runs along their columns (``solids``), or a row for each voxel inside where a step asks for voxels.
+Filling, boundary, vertices and faces are joins, aggregations and sweeps of columns. The
 distance wave of the solvent-excluded surface depends on the order in which voxels are visited; it runs shell by shell over the
 voxels of all structures, and each offer carries its place in that order.
 """
@@ -10,10 +11,11 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import drop, kept
+from . import solids
 from .atoms import single
 
 PROBE, DEFAULT_SCALE, MARGIN, LARGE_VOLUME = 1.4, 2, 5.5, 1_000_000
@@ -59,24 +61,13 @@ def shared_radii(atoms: DataFrame, grid: DataFrame, kind: str = "vdw", probe: fl
 def fill(atoms: DataFrame, grid: DataFrame, kind: str = "vdw", probe: float = PROBE) -> DataFrame:
     """Voxels inside any ball: structure_id, i, j, k, atom_idx, d2; the owner is the nearest centre, the first atom on ties."""
     placed = shared_radii(atoms, grid, kind, probe)
-    w = F.floor("ball").cast("int")
-    rows = placed.withColumn("di", F.explode(F.sequence(-w, w))).withColumn("dj", F.explode(F.sequence(-w, w)))
-    rest = F.col("ball") * F.col("ball") - F.col("di") * F.col("di") - F.col("dj") * F.col("dj")
-    h = F.floor(F.sqrt(F.col("rest"))).cast("int")
-    rows = rows.withColumn("rest", rest).filter("rest >= 0").withColumn("dk", F.explode(F.sequence(-h, h)))
-    rows = rows.select("structure_id", *[(F.col(f"c{v}") + F.col(f"d{v}")).alias(v) for v in "ijk"], "nx", "ny", "nz", "atom_idx", (F.col("di") * F.col("di") + F.col("dj") * F.col("dj") + F.col("dk") * F.col("dk")).alias("d2"))
-    inside = rows.filter("i >= 0 and j >= 0 and k >= 0 and i < nx and j < ny and k < nz")
-    return inside.groupBy("structure_id", "i", "j", "k").agg(F.min(F.struct("d2", "atom_idx")).alias("o")).select("structure_id", "i", "j", "k", F.col("o.atom_idx").alias("atom_idx"), F.col("o.d2").alias("d2"))
-
-
-def boundary(voxels: DataFrame, grid: DataFrame) -> DataFrame:
-    """Voxels with one of 26 neighbours in the grid that is not inside: those that fewer full neighbours meet than exist."""
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in NEIGHBOURS])
-    met = voxels.select("structure_id", "i", "j", "k", F.explode(offsets).alias("o")).select("structure_id", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), (F.col("k") + F.col("o.c")).alias("k"), F.lit(1).alias("full"), F.lit(0).alias("own"))
-    own = voxels.select("structure_id", "i", "j", "k", F.lit(0).alias("full"), F.lit(1).alias("own"))
-    counts = met.unionByName(own).groupBy("structure_id", "i", "j", "k").agg(F.sum("full").alias("full"), F.max("own").alias("own")).filter("own = 1").join(grid, "structure_id")
-    span = lambda v, n: 3 - (F.col(v) == 0).cast("int") - (F.col(v) == F.col(n) - 1).cast("int")
-    return counts.filter(F.col("full") < span("i", "nx") * span("j", "ny") * span("k", "nz") - 1).select("structure_id", "i", "j", "k")
+    chords = solids.chords(placed)
+    return solids.owners(solids.voxels(solids.union(chords)), chords)
+
+
+def boundary(solid: DataFrame, grid: DataFrame) -> DataFrame:
+    """Voxels of ``solid`` (voxels or runs) with one of 26 neighbours in the grid that is not inside."""
+    return solids.voxels(solids.boundary(solids.as_runs(solid), grid))
 
 
 _CELL = ["structure_id", "i", "j", "k"]
@@ -145,16 +136,13 @@ def ses_solid(voxels: DataFrame, bound: DataFrame, grid: DataFrame, probe: float
     cut-off distance or beyond."""
     cuts = grid.select("structure_id", (F.col("scale") * probe).alias("cut"), F.greatest(F.lit(0.0), F.col("scale") - 0.5).alias("over"))
     near = distance_wave(voxels, bound, cuts).join(cuts, "structure_id").filter(F.col("d") < F.col("cut") * F.col("cut") - 0.5 / (0.1 + F.col("over")))
-    return voxels.join(near.select(*_CELL), _CELL, "left_anti").select(*_CELL, "atom_idx", "d2")
+    return voxels.join(near.select(*_CELL), _CELL, "left_anti")
 
 
 def net_vertices(solid: DataFrame, grid: DataFrame) -> DataFrame:
-    """One vertex for each grid cell with corners inside and outside: structure_id, i, j, k (cell), x, y, z in grid
+    """One vertex for each grid cell with corners of ``solid`` (voxels or runs) inside and outside: structure_id, i, j, k (cell), x, y, z in grid
     units, the mean of the middles of the cell edges that cross, and owner voxel coordinates."""
-    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(1 << (a + 2 * b + 4 * c)).alias("bit")) for a, b, c in product((0, 1), repeat=3)])
-    cells = solid.select("structure_id", "i", "j", "k", F.explode(corners).alias("o")).select("structure_id", (F.col("i") - F.col("o.a")).alias("i"), (F.col("j") - F.col("o.b")).alias("j"), (F.col("k") - F.col("o.c")).alias("k"), F.col("o.bit").alias("bit"))
-    cells = cells.groupBy("structure_id", "i", "j", "k").agg(F.sum("bit").alias("mask")).filter("mask <> 255").join(grid, "structure_id")
-    cells = cells.filter("i >= 0 and j >= 0 and k >= 0 and i < nx - 1 and j < ny - 1 and k < nz - 1")
+    cells = solids.mixed_cells(solids.as_runs(solid), grid)
     inside = lambda n: F.col("mask").bitwiseAND(F.lit(1 << n)) > 0
     total, sums = F.lit(0), {c: F.lit(0.0) for c in "xyz"}
     for n, m in ((n, n | 1 << axis) for axis in range(3) for n in range(8) if not n >> axis & 1):
@@ -218,12 +206,16 @@ def vertex_normals(faces: DataFrame) -> DataFrame:
     return sums.select("structure_id", "i", "j", "k", *[F.when(size > 0, F.col(f"n{c}") / size).otherwise(0.0).alias(f"n{c}") for c in "xyz"])
 
 
+def _nearest_node() -> dict[str, Column]:
+    """Columns i, j, k: the grid node nearest to x, y, z (grid units), within the grid."""
+    return {v: F.greatest(F.lit(0), F.least(F.col(f"n{c}") - 1, F.floor(F.col(c) + 0.5).cast("int"))) for c, v in zip("xyz", "ijk", strict=True)}
+
+
 def vertex_owners(vertices: DataFrame, voxels: DataFrame, grid: DataFrame, kind: str = "vdw") -> DataFrame:
     """Vertices in structure coordinates with the atom that owns the nearest grid node; nodes outside have owner 0 for
     van der Waals surfaces and 4294967295 for the others."""
     at = vertices.join(grid, "structure_id")
-    for c, v in zip("xyz", "ijk", strict=True):
-        at = at.withColumn(f"cell_{v}", F.col(v)).withColumn(v, F.greatest(F.lit(0), F.least(F.col(f"n{c}") - 1, F.floor(F.col(c) + 0.5).cast("int"))))
+    at = at.withColumns({f"cell_{v}": F.col(v) for v in "ijk"}).withColumns(_nearest_node())
     owned = at.join(voxels.select("structure_id", "i", "j", "k", "atom_idx"), ["structure_id", "i", "j", "k"], "left")
     place = [(F.col(c) / F.col("scale") - F.col(f"t{c}")).cast("float").alias(c) for c in "xyz"]
     return owned.select("structure_id", *[F.col(f"cell_{v}").alias(v) for v in "ijk"], *place, F.coalesce(F.col("atom_idx").cast("long"), F.lit(0 if kind == "vdw" else 4294967295)).alias("atom_idx"))
@@ -235,8 +227,11 @@ def surface(atoms: DataFrame, kind: str = "vdw", probe: float = PROBE, voxel: fl
         raise ValueError(f"unknown surface: {kind}")
     atoms = surface_input(atoms)
     grid = grids(atoms, kind, probe, voxel)
-    voxels = kept(fill(atoms, grid, kind, probe), "voxels")  # read by each of the steps below
-    solid = ses_solid(voxels, boundary(voxels, grid), grid, probe) if kind == "ses" else voxels
+    chords = kept(solids.chords(shared_radii(atoms, grid, kind, probe)), "chords")
+    runs = kept(solids.union(chords), "runs")  # read by each of the steps below
+    voxels = solids.voxels(runs)
+    solid = ses_solid(voxels, boundary(runs, grid), grid, probe) if kind == "ses" else runs
     vertices = net_vertices(solid, grid)
     faces = triangles(net_quads(vertices), voxels)
-    return vertex_owners(vertices, voxels, grid, kind).join(vertex_normals(faces), ["structure_id", "i", "j", "k"], "left"), faces
+    nodes = solids.owners(vertices.join(grid, "structure_id").withColumns(_nearest_node()), chords)  # only these are asked for owners
+    return vertex_owners(vertices, nodes, grid, kind).join(vertex_normals(faces), ["structure_id", "i", "j", "k"], "left"), faces
