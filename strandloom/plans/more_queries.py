@@ -11,10 +11,10 @@ from ..functions.fields import number
 from ..operators import atoms as A
 from ..operators import backbone as B
 from ..operators import bonds as C
-from ..operators import catalog, geometry, lookup, surface
+from ..operators import catalog, geometry, intervals, lookup, solids, surface
 from ..sources.store import kept, shared_folder
 from ..sources.structures import fetch_structures, lines
-from .queries import _BONDS, _ENDS, _POINTS, _RAYS, _SEGMENTS, _VOXELS, _voxels, over, query, scene
+from .queries import _BONDS, _ENDS, _POINTS, _RAYS, _SEGMENTS, _SPANS, _VOXELS, _voxels, over, query, scene
 from .scene import Scene, derived_lines
 
 
@@ -438,3 +438,20 @@ def ids_written(spark, sf_dir):
     path = f"{shared_folder(spark)}/strandloom/ids-{uuid.uuid4().hex}"
     catalog.write_ids(part, path)
     return catalog.read_ids(spark, path).groupBy("entry_id").agg(F.count("*").alias("n"))
+
+
+@query(over(_VOXELS) + """, runs as (select *, k - row_number() over (partition by structure_id, i, j order by k) as run from vox)
+    select structure_id, i, j, min(k) as lo, max(k) as hi from runs group by structure_id, i, j, run""")
+def solid_runs(spark, sf_dir):
+    """The solid of all balls as runs along its columns."""
+    atoms = surface.surface_input(scene(spark, sf_dir).atoms)
+    chords = solids.chords(surface.shared_radii(atoms, surface.grids(atoms, voxel=1.0)))
+    return solids.union(chords).select("structure_id", "i", "j", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
+
+
+@query(over(_POINTS, _SPANS) + "select structure_id, point, p.residue_idx, span, kind from p join spans using (structure_id) where p.residue_idx between start_residue and end_residue")
+def points_in_spans(spark, sf_dir):
+    """Backbone points with each secondary span that they lie in."""
+    s = scene(spark, sf_dir)
+    met = intervals.within(s.points, s.spans, ["structure_id"], "residue_idx", "start_residue", "end_residue")
+    return met.select("structure_id", "point", "residue_idx", "span", "kind")
