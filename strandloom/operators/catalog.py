@@ -134,7 +134,8 @@ def first_in_order(rows: DataFrame, k: int, seed: int = 0, column: str = "entry_
     histogram has at most 16 ^ ``DIGITS`` rows, so each round is one aggregation of counts."""
     if k <= 0:
         return rows.limit(0)
-    hashed, prefix, need, n = rows.withColumn("hash", sample_order(column, seed)), "", k, 0
+    own = F.struct("*").alias("row")  # columns of any name stay as they are
+    hashed, prefix, need, n = rows.select(own, F.col(column).alias("entry"), sample_order(column, seed).alias("hash")), "", k, 0
     while not prefix or n > EDGE_ROWS and len(prefix) < 32:
         inside = hashed.filter(F.col("hash").startswith(prefix))
         bins = inside.groupBy(F.substring("hash", len(prefix) + 1, DIGITS).alias("digits")).count().collect()
@@ -148,10 +149,10 @@ def first_in_order(rows: DataFrame, k: int, seed: int = 0, column: str = "entry_
     below = hashed.filter(F.substring("hash", 1, len(prefix)) < prefix)
     edge = hashed.filter(F.col("hash").startswith(prefix))
     if n <= EDGE_ROWS:
-        edge = edge.withColumn("rank", F.row_number().over(Window.orderBy("hash", column)) - 1)
+        edge = edge.withColumn("rank", F.row_number().over(Window.orderBy("hash", "entry")) - 1)
     else:  # one hash: rows that repeat an id
-        edge = ranked(edge, column)
-    return below.unionByName(edge.filter(F.col("rank") < need).drop("rank")).drop("hash")
+        edge = ranked(edge, "entry")
+    return below.unionByName(edge.filter(F.col("rank") < need).drop("rank")).select("row.*")
 
 
 def sample(ids: DataFrame, percent: float, seed: int = 0, column: str = "entry_id") -> DataFrame:
