@@ -79,3 +79,11 @@ def test_only_balls_are_shuffled(spark, sf_dir, name):
     """A structure's balls are far fewer than the voxels of its solid or the vertices of its surface."""
     atoms = scene(spark, sf_dir).atoms.count()
     assert shuffled_rows(spark, QUERIES[name](spark, sf_dir)) < 4 * atoms
+
+
+@pytest.mark.parametrize("name", ["hovered_ids", "ribbon_flat", "ribbon_tube"])
+def test_kept_tables_are_not_broadcast(spark, sf_dir, name):
+    """Tables that grow with the input do not pass through the driver, however small their files are."""
+    df = QUERIES[name](spark, sf_dir)
+    df.write.format("noop").mode("overwrite").save()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
