@@ -33,3 +33,23 @@ def test_numbers_of_many_fields(spark):
     df = spark.createDataFrame([(n, f) for n, f in enumerate(forms)], "n int, t string")
     got = df.select("n", number(F.col("t")).alias("one"), numbers(F.col("t"), F.lit("1"))[0].alias("many")).orderBy("n").collect()
     assert [r.one for r in got] == want and [r.many for r in got] == want
+
+
+def test_bonds_carry_both_ends(spark, sf_dir):
+    """Blocks of one cell and of many, tables of one block and of many, give the bonds of the union of both sources."""
+    from strandloom.operators import bonds
+    from strandloom.plans.queries import scene
+
+    s = scene(spark, sf_dir)
+    both = s.conect.withColumn("source", F.lit(0)).unionByName(bonds.heuristic_bonds(s.atoms).withColumn("source", F.lit(1)))
+    both = both.groupBy("structure_id", "a", "b").agg(F.min_by("bond_order", "source").alias("bond_order"))
+    for e in "ab":
+        both = both.join(s.atoms.select("structure_id", F.col("atom_idx").alias(e), F.col("serial").alias(f"serial_{e}"), F.col("rgb").alias(f"rgb_{e}")), ["structure_id", e])
+    columns = ["structure_id", "a", "b", "bond_order", "serial_a", "serial_b", "rgb_a", "rgb_b"]
+    want = sorted(map(tuple, both.select(columns).collect()))
+    assert len(want) > 1000
+    for side, rows in ((16, 1 << 15), (1, 1 << 15), (2, 1)):
+        got = bonds._block_bonds(s.conect, s.atoms, ["serial", "rgb"], side, rows)
+        assert sorted(map(tuple, got.select(columns).collect())) == want
+    assert sorted(map(tuple, bonds.bonds(s.conect, s.atoms, carry=["serial", "rgb"], crowd=6).select(columns).collect())) == want
+    assert "Join" not in plan(s.ends("serial").drop("x")).split("MapInArrow")[0]
