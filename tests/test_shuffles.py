@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 from pyspark.sql import functions as F
 from strandloom.functions.fields import number, numbers
 from strandloom.operators import parsing, scan
+from strandloom.sources.store import shared_folder
 
 
 def plan(df) -> str:
@@ -53,3 +57,34 @@ def test_bonds_carry_both_ends(spark, sf_dir):
         assert sorted(map(tuple, got.select(columns).collect())) == want
     assert sorted(map(tuple, bonds.bonds(s.conect, s.atoms, carry=["serial", "rgb"], crowd=6).select(columns).collect())) == want
     assert "Join" not in plan(s.ends("serial").drop("x")).split("MapInArrow")[0]
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    from strandloom.sources.store import drop, kept
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle")}
+    before = files()
+    got = kept(spark.range(5000).repartition(4, "id"), "probe")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and got.count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    drop(got)
+
+
+def test_steps_of_kept_tables_are_deleted(spark, sf_dir):
+    from strandloom.plans.scene import Scene, derived_lines
+
+    s = Scene(derived_lines(spark, sf_dir))
+    root = f"{shared_folder(spark).split(':', 1)[-1]}/strandloom"
+    os.makedirs(root, exist_ok=True)
+    folders = lambda: set(os.listdir(root))
+    before = folders()
+    want = s.atoms.count()
+    assert want and {f.split("-")[0] for f in folders() - before} == {"records", "raw", "chains", "residues", "atoms"}
+    assert s.spans.count() and s.segments.count() and s.points.count() and s.bonds.count() and s.atoms.count() == want
+    assert {f.split("-")[0] for f in folders() - before} == {"records", "raw", "chains", "residues", "atoms", "spans", "segments", "points", "conect", "bonds"}
+    s.release()
+    assert folders() == before
