@@ -88,3 +88,15 @@ def test_steps_of_kept_tables_are_deleted(spark, sf_dir):
     assert {f.split("-")[0] for f in folders() - before} == {"records", "raw", "chains", "residues", "atoms", "spans", "segments", "points", "conect", "bonds"}
     s.release()
     assert folders() == before
+
+
+def test_owners_of_vertices_move_no_vertices(spark, sf_dir):
+    from strandloom.operators import surface, tiles
+    from strandloom.plans.queries import QUERIES, _balls
+
+    got = QUERIES["surface_vertex_owners"](spark, sf_dir)
+    above = plan(got).split("FlatMapGroupsInArrow")[0]
+    assert "Join" not in above and "Exchange" not in above
+    placed, grid = _balls(spark, sf_dir)
+    want = surface.placed_vertices(tiles.vertices(placed), grid).select("structure_id", "i", "j", "k", "atom_idx")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
