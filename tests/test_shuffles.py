@@ -100,3 +100,18 @@ def test_owners_of_vertices_move_no_vertices(spark, sf_dir):
     placed, grid = _balls(spark, sf_dir)
     want = surface.placed_vertices(tiles.vertices(placed), grid).select("structure_id", "i", "j", "k", "atom_idx")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bond_lists_are_moved_as_runs(spark):
+    """Ends of runs of bond numbers travel, not the numbers: no list of longs meets the last shuffle."""
+    from strandloom.operators import lookup
+
+    pairs = [("s", a, b) for a in range(40) for b in range(a + 1, min(40, a + 1 + a % 5))] + [("t", 0, 1), ("t", 0, 7), ("t", 3, 7)]
+    got = lookup.bonds_by(spark.createDataFrame(pairs, "structure_id string, a int, b int"), None, "atom_idx")
+    of = {}
+    for s in "st":
+        for n, (_, a, b) in enumerate(sorted(p for p in pairs if p[0] == s)):
+            for e in (a, b):
+                of.setdefault((s, e), []).append(n)
+    assert {(r.structure_id, r.atom_idx): r.bonds for r in got.collect()} == of
+    assert "collect_list(run" in plan(got)
