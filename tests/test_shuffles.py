@@ -115,3 +115,14 @@ def test_bond_lists_are_moved_as_runs(spark):
                 of.setdefault((s, e), []).append(n)
     assert {(r.structure_id, r.atom_idx): r.bonds for r in got.collect()} == of
     assert "collect_list(run" in plan(got)
+
+
+def test_subsets_of_spans_need_no_atoms(spark, sf_dir):
+    from strandloom.operators import subset
+    from strandloom.plans import queries
+
+    queries._SCENES.pop(next((k for k in queries._SCENES if k == (spark.sparkContext.applicationId, sf_dir)), None), None)
+    got = sorted(map(tuple, queries.QUERIES["subset_spans"](spark, sf_dir).collect()))
+    s = queries.scene(spark, sf_dir)
+    assert "atoms" not in vars(s)
+    assert got and got == sorted(map(tuple, subset.subset_spans(s.spans, subset.kept_atoms(s.atoms, queries.keep_two(s))).collect()))
