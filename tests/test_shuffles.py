@@ -126,3 +126,16 @@ def test_subsets_of_spans_need_no_atoms(spark, sf_dir):
     s = queries.scene(spark, sf_dir)
     assert "atoms" not in vars(s)
     assert got and got == sorted(map(tuple, subset.subset_spans(s.spans, subset.kept_atoms(s.atoms, queries.keep_two(s))).collect()))
+
+
+def test_bonds_of_subsets_are_made_from_their_atoms(spark, sf_dir):
+    from strandloom.operators import subset
+    from strandloom.plans.queries import keep_two, scene
+
+    for policy in ("conect+heuristic", "heuristic-if-missing", "conect-only"):
+        s = scene(spark, sf_dir, policy=policy)
+        got, want = s.bonds_among(keep_two(s)), subset.subset_chains(s.atoms, s.bonds, keep_two(s))[1]
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == sorted(map(tuple, want.collect())) and rows and got.dtypes == want.dtypes
+    s = scene(spark, sf_dir)
+    assert "Join" not in plan(s.bonds_among(keep_two(s))).split("MapInArrow")[0]
