@@ -139,3 +139,16 @@ def test_bonds_of_subsets_are_made_from_their_atoms(spark, sf_dir):
         assert rows == sorted(map(tuple, want.collect())) and rows and got.dtypes == want.dtypes
     s = scene(spark, sf_dir)
     assert "Join" not in plan(s.bonds_among(keep_two(s))).split("MapInArrow")[0]
+
+
+def test_selected_bonds_and_atoms_are_moved_once(spark, sf_dir):
+    from strandloom.operators import lookup
+    from strandloom.plans.queries import QUERIES, scene
+
+    s = scene(spark, sf_dir)
+    twice = lookup.atom_selections(s.atoms, s.chains, s.residues)
+    assert sorted(map(str, s.selections.select(twice.columns).collect())) == sorted(map(str, twice.collect()))
+    got = QUERIES["bond_selection"](spark, sf_dir)
+    want = lookup.bond_selections(s.bonds, s.selections).select("structure_id", "a", "b", "bond_order", "atom_a.serial", "atom_b.serial", "atom_a.res_name", "atom_b.res_name")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns[4:] == ["serial_a", "serial_b", "res_a", "res_b"]
+    assert "Join" not in plan(got).split("MapInArrow")[0]
