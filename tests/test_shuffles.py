@@ -148,6 +148,7 @@ def test_selected_bonds_and_atoms_are_moved_once(spark, sf_dir):
     s = scene(spark, sf_dir)
     twice = lookup.atom_selections(s.atoms, s.chains, s.residues)
     assert sorted(map(str, s.selections.select(twice.columns).collect())) == sorted(map(str, twice.collect()))
+    assert plan(s.selections).count("Join") == 1
     got = QUERIES["bond_selection"](spark, sf_dir)
     want = lookup.bond_selections(s.bonds, s.selections).select("structure_id", "a", "b", "bond_order", "atom_a.serial", "atom_b.serial", "atom_a.res_name", "atom_b.res_name")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns[4:] == ["serial_a", "serial_b", "res_a", "res_b"]
