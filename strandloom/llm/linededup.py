@@ -93,9 +93,9 @@ def partial_filters(rows: DataFrame, bits: int, hashes: Callable[[pa.Array], Ite
     return rows.mapInArrow(run, "stretch int, once binary, again binary")
 
 
-def merged_filter(partial: DataFrame, bits: int, which: str) -> np.ndarray:
-    """The packed filter ``which`` ("once" or "again") of all tasks. Each task folds the stretches dealt to it, one partial
-    filter at a time; the driver holds the whole, max_filter_bytes at most."""
+def folded_filters(partial: DataFrame, bits: int, which: str) -> DataFrame:
+    """stretch, bits of the filter ``which`` ("once" or "again") of all tasks. Each task folds the stretches dealt to it, one
+    partial filter at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -110,8 +110,17 @@ def merged_filter(partial: DataFrame, bits: int, which: str) -> np.ndarray:
         for k, (a, b) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress((a if which == "once" else b).tobytes(), 1)], pa.binary())], ["stretch", "bits"])
 
+    return partial.repartition(max(1, min(bits // STRETCH, 64)), "stretch").mapInArrow(run, "stretch int, bits binary")
+
+
+def merged_filter(partial: DataFrame, bits: int, which: str) -> np.ndarray:
+    """The packed filter ``which`` of all tasks; the driver holds the whole, max_filter_bytes at most."""
+    return packed_filter(folded_filters(partial, bits, which), bits)
+
+
+def packed_filter(folded: DataFrame, bits: int) -> np.ndarray:
     whole = np.zeros(bits // 8, np.uint8)
-    for k, raw in partial.repartition(max(1, min(bits // STRETCH, 64)), "stretch").mapInArrow(run, "stretch int, bits binary").toLocalIterator():
+    for k, raw in folded.toLocalIterator():
         whole[k * STRETCH // 8 : (k + 1) * STRETCH // 8] = np.frombuffer(zlib.decompress(raw), np.uint8)
     return whole
 
