@@ -20,3 +20,20 @@ def test_pairs_of_points_are_moved_once(spark):
         got = backbone.backbone_pairs(points, *([block] if block else []))
         assert "Join" not in plan(got) and plan(got).count("Exchange") == 1
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+
+
+def test_layers_make_bonds_with_their_ends(spark, sf_dir):
+    from strandloom.operators import geometry
+    from strandloom.plans import more_queries, queries  # noqa: F401  (registers its queries)
+    from strandloom.plans.queries import QUERIES
+
+    queries._SCENES.pop(next((k for k in queries._SCENES if k == (spark.sparkContext.applicationId, sf_dir)), None), None)
+    got = QUERIES["scene_layers"](spark, sf_dir)
+    s = queries.scene(spark, sf_dir)
+    assert "spans" not in vars(s) and "bonds" not in vars(s)  # no layer asked for ribbons, and lines hold their bonds
+    assert "Join" not in plan(got).split("MapInArrow")[0]
+    assert {r.layer: r.n for r in got.collect()} == {"atoms": s.atoms.count(), "lines": 2 * s.bonds.count(), "backbone": backbone.backbone_pairs(s.points).count()}
+    both = [geometry.scene(s.atoms, b, s.points, None, ("lines", "bonds")) for b in (s.bonds, s.ends(*geometry.ENDS))]
+    for k in ("lines", "bonds"):
+        one, two = (sorted(map(str, b[k].drop("pa", "pb").select(*both[0][k].columns).collect())) for b in both)
+        assert one == two
