@@ -37,3 +37,17 @@ def test_layers_make_bonds_with_their_ends(spark, sf_dir):
     for k in ("lines", "bonds"):
         one, two = (sorted(map(str, b[k].drop("pa", "pb").select(*both[0][k].columns).collect())) for b in both)
         assert one == two
+
+
+def test_short_spans_take_few_levels(spark):
+    from strandloom.operators import intervals
+
+    points = spark.createDataFrame([("k", n) for n in range(-40, 700)], "k string, at int")
+    spans = [("k", -7, 5), ("k", 0, 255), ("k", 16, 31), ("k", 9, 8), ("k", 3, 3)]
+    for more, levels in (([], 2), ([("k", -30, 600)], 3), ([("k", 0, 90_000)], 4)):
+        df = spark.createDataFrame(spans + more, "k string, s int, e int")
+        assert intervals.levels_for(df, "s", "e") == levels
+        want = sorted((n, a, b) for _, a, b in spans + more for n in range(-40, 700) if a <= n <= b)
+        for n in (1, levels):
+            assert sorted(map(tuple, intervals.within(points, df, ["k"], "at", "s", "e", n).select("at", "s", "e").collect())) == want
+    assert intervals.levels_for(spark.createDataFrame([], "k string, s int, e int"), "s", "e") == 1
