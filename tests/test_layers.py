@@ -51,3 +51,19 @@ def test_short_spans_take_few_levels(spark):
         for n in (1, levels):
             assert sorted(map(tuple, intervals.within(points, df, ["k"], "at", "s", "e", n).select("at", "s", "e").collect())) == want
     assert intervals.levels_for(spark.createDataFrame([], "k string, s int, e int"), "s", "e") == 1
+
+
+def test_events_are_stored_once_unless_a_ter_lacks_its_chain(spark, monkeypatch):
+    from strandloom.plans.scene import Scene
+
+    atom = "ATOM  {:>5}  CA  GLY {}{:>4}       1.000   2.000   3.000  1.00  0.00           C"
+    text = [atom.format(1, "A", 1), atom.format(2, "A", 2), "TER                  A", atom.format(3, "B", 1), atom.format(4, "B", 5), "TER                  B", "TER                  C"]
+    stored = []
+    keep = backbone.kept
+    monkeypatch.setattr(backbone, "kept", lambda df, label: stored.append(label) or keep(df, label))
+    for lines, times in ((text, 1), ([t.replace("TER                  B", "TER   ") for t in text], 2)):
+        stored.clear()
+        s = Scene(spark.createDataFrame([("s", n, t) for n, t in enumerate(lines)], "structure_id string, line_no long, line string"))
+        assert sorted(map(tuple, s.segments.drop("structure_id").collect())) == [(0, 0, 1, 2), (1, 2, 3, 5)]
+        assert stored.count("events") == times
+        s.release()
